@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import cluster
@@ -268,6 +268,18 @@ def near_duplicates(docs: DataFrame, *, n_words: int = 5, percent: int = 80) ->
     )
 
 
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of its smallest doc_id.
+
+    Of repeated rows of one doc_id the one of the least text stays; rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit("-")))
+    first = docs.join(gone, "doc_id", "left_anti").withColumn("__key", key)
+    order = Window.partitionBy("__key").orderBy("text")
+    return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: three-word shingles, Jaccard of 85 percent or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

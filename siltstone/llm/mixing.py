@@ -101,7 +101,7 @@ def _schedule(spark, blocks: list[int]) -> DataFrame:
     return ranked.unionByName(late)
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 17, row_column: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Schedule ``docs(doc_id, text, source)``: (rows, pieces).
 
     ``rows``: row_no, doc_id, source, size (words), source_size, target, one for every input
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
     base = cluster.saved(
         docs.select(
-            F.monotonically_increasing_id().alias("row_no"),
+            (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row_no"),
             "doc_id",
             "source",
             F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size"),
@@ -168,6 +168,25 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     return rows.select("row_no", "doc_id", "source", "size", "source_size", "target"), pieces
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row per epoch in which a row has a share.
+
+    A row taken whole keeps its text; of the one row a source's target ends in, the words
+    taken stay, with single spaces. ``n_chars``, if there is one, follows the text.
+    """
+    kept = cluster.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
+    rows, pieces = mix(kept, row_column="__row", **options)
+    share = pieces.groupBy("row_no", "epoch").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to")).withColumnRenamed("row_no", "__row")
+    size = rows.select(F.col("row_no").alias("__row"), F.col("size").alias("__size"))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{WORD}', 0), cast(__from + 1 as int), cast(__to - __from as int)), ' ')")
+    out = kept.join(share.join(size, "__row"), "__row")
+    whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: the words the mix takes of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: (module, function, name of its SQL in the module or None).
 TABLE = {
+    "op1_suffix_dedup": ("suffix_dedup", "query", None),
     "op2_html_text": ("html_text", "query", None),
     "op3_source_mixing": ("mixing", "query", None),
     "op4_minhash_near_dedup": ("minhash", "query", None),
+    "op5_embedding_dedup": ("embedding_dedup", "query", None),
     "op6_pii": ("pii", "query", None),
     "op7_toxicity": ("toxicity", "query", None),
+    "op8_nearest": ("nearest", "query", None),
     "op9_packing": ("packing", "query", None),
     "op10_kneser_ney": ("kneser_ney", "query", None),
 }

@@ -29,8 +29,10 @@ from siltstone.llm import cluster
 #: Labelled rows of each label that are used for fitting, at most.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Lengths of stems; entries a lexicon holds at most; evidence an entry needs (log-likelihood ratio, log-odds).
-STEMS, LEXICON, LEAST_LLR, LEAST_ODDS = (4, 5, 6, 7), 1000, 28.0, 2.5
+STEMS, LEXICON, LEAST_LLR, LEAST_ODDS = (4, 5, 6, 7, 8), 1000, 28.0, 1.8
 THRESHOLD = 0.7
+#: Share of a further clause's weight that adds to the strongest; share of a stem's texts one word may explain.
+FURTHER, ONE_WORD = 0.25, 0.7
 
 # Closed word classes of English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy murder stab shoot beat strangle töte töten umbringen tuer frapper matar matarte".split())
@@ -158,7 +160,7 @@ class Grammar:
 
     def score(self, text: str | None) -> float:
         """0 to 1. Clauses without a lexicon entry or threat weigh 0 and are not read."""
-        total, done = 0.0, 0
+        best, total, done = 0.0, 0.0, 0
         low = (text or "").lower()
         for end, size in self.triggers.iter(low):
             a = end - size + 1
@@ -170,8 +172,10 @@ class Grammar:
             start = max(start, a - 400)
             stop = _END.search(low, a)
             done = stop.start() if stop else len(low)
-            total += self.clause(low[start:done])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + total))))
+            weight = self.clause(low[start:done])
+            best, total = max(best, weight), total + weight
+        # Clauses of one text are no independent evidence: the strongest counts in full, the others in part.
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + best + FURTHER * (total - best)))))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         .limit(LEXICON)
         .collect()
     )
-    entries = {r.entry: min(6.0, r.odds) for r in found}
+    words = [(r.entry, r.toxic) for r in found if not r.entry.endswith("*")]
+    # A stem that one word explains is no stem: it would only catch unrelated words that begin alike.
+    real = [r for r in found if not (r.entry.endswith("*") and any(w.startswith(r.entry[:-1]) and n >= ONE_WORD * r.toxic for w, n in words))]
+    entries = {r.entry: min(6.0, r.odds) for r in real}
     # What texts without any match are worth: toxic rows the lexicon misses against clean ones.
     grammar = Grammar(entries, 0.0)
     missed = rows.mapInArrow(_unmatched(grammar.entries), "toxic int, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()
@@ -243,8 +250,8 @@ def _unmatched(entries: dict[str, float]):
     return run
 
 
-def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` with column ``toxicity`` (0 to 1), from the text alone; null and empty texts get the prior."""
+def scored(docs: DataFrame, grammar: Grammar, column: str = "toxicity") -> DataFrame:
+    """``docs`` with a column (0 to 1), from the text alone; null and empty texts get the prior."""
     entries, prior, held = grammar.entries, grammar.prior, {}
 
     @F.arrow_udf("double")
@@ -253,25 +260,25 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
             held["g"] = Grammar(entries, prior)
         return pa.array([held["g"].score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.withColumn("toxicity", score(F.col("text").cast("string")))
+    return docs.withColumn(column, score(F.col("text").cast("string")))
 
 
-def split(docs: DataFrame) -> DataFrame:
-    """Adds ``held_out``: crc32 of doc_id as text, mod 3, is 1; false for a null doc_id."""
-    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+def split(docs: DataFrame, column: str = "held_out") -> DataFrame:
+    """Adds a column: crc32 of doc_id as text, mod 3, is 1; false for a null doc_id."""
+    return docs.withColumn(column, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on rows of ``docs`` that are not held out, score all: ``docs`` with held_out and toxicity.
+def toxicity(docs: DataFrame, labels: DataFrame, score_column: str = "toxicity", held_column: str = "held_out") -> DataFrame:
+    """Fit on rows of ``docs`` that are not held out, score all: ``docs`` with both columns.
 
-    Defined cases: rows with a null doc_id teach nothing and are scored. Repeated rows are
-    scored each. Columns other than doc_id and text never matter. An empty table gives an
-    empty result.
+    Defined cases: rows with a null doc_id teach nothing and are scored; null and empty texts
+    get the prior. Repeated rows are scored each. Columns other than doc_id and text never
+    matter; one named like an added column is replaced. An empty table gives an empty result.
     """
     cluster.tune(docs.sparkSession)
-    marked = split(docs)
-    grammar = fit(marked.where(~F.col("held_out")), labels.select("doc_id", "toxic"))
-    return scored(marked, grammar)
+    marked = split(docs, held_column)
+    grammar = fit(marked.where(~F.col(held_column)), labels.select("doc_id", "toxic"))
+    return scored(marked, grammar, score_column)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
