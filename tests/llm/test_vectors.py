@@ -1,0 +1,95 @@
+"""Vector operators against brute force."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from siltstone.llm import embedding_dedup, nearest
+
+SCHEMA = "vec_id long, embedding array<float>, label int, dim string, n long, vec string, cell long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, label, "d", 1, "v", 3) for i, v, label in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(5)
+    out = []
+    for c in range(8):
+        centre = rng.standard_normal(12)
+        for _ in range(40):
+            out.append((len(out), (centre + rng.standard_normal(12) * rng.choice([0.02, 0.1, 1.0])).tolist(), c % 3))
+    out += [(1000 + i, out[i % 5][1], out[i % 5][2]) for i in range(30)]  # exact copies
+    nan = [float("nan")] + [1.0] * 11
+    out += [(2000, None, 1), (2001, [0.0] * 12, 1), (2002, nan, 1), (2003, [None] + [1.0] * 11, 1), (2004, out[0][1], None), (2005, [1.0, 2.0], 0), (2006, [1.0, 2.0], 0), (2007, [float("inf")] * 12, 2), (2100, [], 0)]
+    return out
+
+
+def usable(v):
+    return v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+@pytest.mark.parametrize("leaf", [8, 256])
+def test_links(spark, rows, monkeypatch, leaf):
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16 if leaf == 8 else 1024)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(frame(spark, rows)).collect()}
+    vec = {i: np.float32(v).astype(float) for i, v, _ in rows if usable(v)}
+    label = {i: c for i, _, c in rows}
+    links = {i: [j for j in vec if i != j and label[i] is not None and label[i] == label[j] and len(vec[i]) == len(vec[j]) and vec[i] @ vec[j] / math.sqrt((vec[i] @ vec[i]) * (vec[j] @ vec[j])) >= 0.98] for i in vec}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(links.get(i, ())) for i, _, _ in rows}
+    comp = {i: i for i, _, _ in rows}
+    for _ in range(20):
+        for i, js in links.items():
+            comp[i] = min([comp[i], *(comp[j] for j in js)])
+    assert {i: r.component_id for i, r in got.items()} == comp
+    assert all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
+def test_links_of_odd_rows(spark):
+    got = embedding_dedup.near_duplicate_vectors(frame(spark, [(None, [1.0, 1.0], 1), (3, [1.0, 1.0], 1), (3, [1.0, 1.0], 1)])).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted([(None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True)], key=repr)
+    assert embedding_dedup.near_duplicate_vectors(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("cell", [50, 4096])
+def test_nearest(spark, rows, monkeypatch, cell):
+    monkeypatch.setattr(nearest, "CELL_ROWS", cell)
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 8)
+    f = frame(spark, rows)
+    asked = [i for i, v, _ in rows if i % 7 == 0]
+    got = nearest.nearest(f, f.where("vec_id % 7 = 0")).collect()
+    vec = {i: np.float32(v).astype(float) for i, v, _ in rows if usable(v) and len(v) == 12}
+    hits = total = 0
+    for q in asked:
+        mine = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
+        if q not in vec:
+            assert not mine
+            continue
+        want = sorted((float(np.sqrt(((vec[q] - v) ** 2).sum())), i) for i, v in vec.items() if i != q)[:10]
+        assert [r for r, _, _ in mine] == list(range(1, 11))
+        assert all(a <= b for a, b in zip([(s, i) for _, s, i in mine], [(s, i) for _, s, i in mine][1:]))
+        for _, s, i in mine:
+            assert s == float(np.sqrt(((vec[q] - vec[i]) ** 2).sum())) and i != q
+        hits += len({i for _, _, i in mine} & {i for _, i in want})
+        total += 10
+    assert hits / total >= 0.97
+
+
+def test_nearest_of_few(spark):
+    f = frame(spark, [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (None, [0.0, 1.0], 1)])
+    got = [(r.query_id, r.rank, r.vec_id) for r in nearest.nearest(f, f.where("vec_id = 0")).collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 2)]
+    e = frame(spark, [])
+    assert nearest.nearest(e, e).count() == 0
+
+
+def test_chi_square():
+    assert abs(float(nearest.chi_square_cdf(np.array(15.507), 8)) - 0.95) < 1e-4
+    rng = random.Random(1)
+    draws = [sum(rng.gauss(0, 1) ** 2 for _ in range(8)) for _ in range(4000)]
+    assert abs(sum(d <= nearest.stop_ratio(0.9) for d in draws) / 4000 - 0.9) < 0.02
