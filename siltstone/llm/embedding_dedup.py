@@ -179,3 +179,21 @@ def near_duplicate_vectors(rows: DataFrame, *, cosine: float = 0.98) -> DataFram
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: cosine of 0.98 or more within equal labels."""
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] e from embeddings
+  where embedding is not null and label is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), l as (
+  select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98
+), r as (
+  select x, y from l union select r.x, l.y from r join l on r.y = l.x
+), m as (
+  select x, min(y) low from r group by 1
+), k as (
+  select x, count(*) n from l group by 1
+)
+select d.vec_id, coalesce(k.n, 0) as n_links, least(d.vec_id, coalesce(m.low, d.vec_id)) as component_id, d.vec_id <= coalesce(m.low, d.vec_id) as kept
+from embeddings d left join k on k.x = d.vec_id left join m on m.x = d.vec_id
+"""

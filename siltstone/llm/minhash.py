@@ -284,3 +284,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op4: three-word shingles, Jaccard of 85 percent or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n_words=3, percent=85)
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) >= 3 then list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w
+), n as (
+  select doc_id, count(*) n from s group by 1
+), c as (
+  select a.doc_id x, b.doc_id y, count(*) both_have from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * both_have >= 85 * (a.n + b.n - both_have)
+), e as (
+  select x, y from l union all select y, x from l
+), r as (
+  select x, y from e union select r.x, e.y from r join e on r.y = e.x
+), m as (
+  select x, min(y) low from r group by 1
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id, d.doc_id <= coalesce(m.low, d.doc_id) as kept
+from documents d left join n on n.doc_id = d.doc_id left join m on m.x = d.doc_id
+"""

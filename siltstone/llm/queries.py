@@ -12,8 +12,8 @@ TABLE = {
     "op1_suffix_dedup": ("suffix_dedup", "query", None),
     "op2_html_text": ("html_text", "query", None),
     "op3_source_mixing": ("mixing", "query", None),
-    "op4_minhash_near_dedup": ("minhash", "query", None),
-    "op5_embedding_dedup": ("embedding_dedup", "query", None),
+    "op4_minhash_near_dedup": ("minhash", "query", "SQL"),
+    "op5_embedding_dedup": ("embedding_dedup", "query", "SQL"),
     "op6_pii": ("pii", "query", None),
     "op7_toxicity": ("toxicity", "query", None),
     "op8_nearest": ("nearest", "query", None),
