@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import cluster
 
-WINDOW, END_ID, CACHED_WORDS = 2048, 1, 400_000
+WINDOW, END_ID, CACHED_WORDS = 2048, 1, 1_000_000
 _SPLIT = "<|endoftext|>"
 _tokenizers: dict = {}
 
@@ -36,7 +36,8 @@ class WordTokenizer:
 
     The tokenizer never joins across white space, so ids are those of the words in turn;
     words seen before come from a bounded cache, the others are encoded together in one call
-    with a special token between them.
+    with a special token between them. It lower-cases and parts letters from signs, so a
+    word with a capital or a last full stop or comma takes the ids of its plain form.
     """
 
     def __init__(self, path: str):
@@ -60,6 +61,12 @@ class WordTokenizer:
             if "<|" in w:
                 self.cache[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn_all(self, words: set[str]) -> None:
+        plain = {w: _plain(w) for w in words}
+        self._learn(list({".", ",", *(core for core, _ in plain.values())}.difference(self.cache)))
+        for w, (core, sign) in plain.items():
+            self.cache[w] = self.cache[core] + self.cache[sign] if sign else self.cache[core]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
@@ -70,11 +77,21 @@ class WordTokenizer:
                 if len(cache) + len(new) > CACHED_WORDS:
                     cache.clear()
                     new = set(words)
-                self._learn(list(new))
+                self._learn_all(new)
             out.append(b"".join(map(cache.__getitem__, words)))
         return out
 
 
+def _plain(word: str) -> tuple[str, str]:
+    """(form without capitals and closing sign, closing sign)."""
+    sign = ""
+    if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        word, sign = word[:-1], word[-1]
+    if word.isalpha() and not word.islower() and "\u03a3" not in word and "\u0130" not in word:  # their lower case depends on more than the letter
+        word = word.lower()
+    return word, sign
+
+
 def _tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
