@@ -359,28 +359,34 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return string, offset, np.where(offset > 0, x[previous], 0), np.where(offset > 0, rank[previous], 0)
 
 
-def merge(symbols: np.ndarray, before: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(symbols: np.ndarray, before: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement of the Burrows-Wheeler transforms of several shards.
 
     Suffixes are named by their place in the shards' orders, one shard after the other:
     ``symbols`` are the transforms, ``before`` the places of the suffixes one symbol longer,
-    ``ends`` the places of the ends alone. Round h deals the interleave stably by the symbols
+    ``first`` the places to begin with. A suffix with fewer than ``depth`` symbols before it
+    runs out of them before the last round; it may be left out of ``first``. Round h deals the interleave stably by the symbols
     before its suffixes; then suffixes stand by their first h symbols and share a block
     exactly if these are equal. A suffix alone in its block stays alone, and so do the longer
     ones it leads to: they leave the interleave. Returns the suffixes that share their first
     ``depth`` symbols with others, in merged order, and their blocks.
     """
-    rest = np.ones(len(symbols), bool)
-    rest[ends] = False
-    at = np.concatenate([ends, np.flatnonzero(rest)]).astype(np.int32)
+    at = first.astype(np.int32)
     block = np.zeros(len(at), np.int32)
-    for _ in range(depth):
-        symbol = symbols[at]
-        order = np.argsort(symbol, kind="stable").astype(np.int32)
-        order = order[np.searchsorted(symbol[order], 1) :]  # 0: no longer suffix
+    rounds = [(symbols, before)] * depth
+    if symbols.dtype == np.uint8:  # two rounds in one: dealing by pairs of symbols is dealing by one and then the other
+        lead = symbols[before]
+        pair = np.where((symbols > 0) & (lead > 0), lead.astype(np.uint16) << 8 | symbols, 0).astype(np.uint16)
+        rounds = [(pair, before[before])] * (depth // 2) + [(symbols, before)] * (depth % 2)
+    for dealt, longer in rounds:
+        symbol = dealt[at]
+        order = np.argsort(symbol, kind="stable")
+        symbol = symbol[order]
+        none = int(np.searchsorted(symbol, 1))  # 0: no longer suffix
+        order, symbol = order[none:], symbol[none:]
         if not len(order):
             return at[:0], block[:0]
-        symbol, earlier, at = symbol[order], block[order], before[at[order]]
+        earlier, at = block[order], longer[at[order]]
         head = np.empty(len(order) + 1, bool)
         head[0] = head[-1] = True
         np.not_equal(symbol[1:], symbol[:-1], out=head[1:-1])
@@ -400,14 +406,14 @@ def repeated(strings: list[bytes], order: np.ndarray, length: int) -> tuple[np.n
         none = np.zeros(0, np.int64)
         return none, none
     groups = [np.arange(k, len(strings), TRANSFORMS) for k in range(min(TRANSFORMS, len(strings)))]
-    string, offset, symbols, before, ends, base = [], [], [], [], [], 0
+    string, offset, symbols, before, base = [], [], [], [], 0
     for g in groups:
         of, at, symbol, longer = transform([strings[i] for i in g])
-        string.append(g[of]), offset.append(at), symbols.append(symbol), before.append(longer + base), ends.append(np.arange(base, base + len(g)))
+        string.append(g[of]), offset.append(at), symbols.append(symbol), before.append(longer + base)
         base += len(of)
     symbols, string, offset = (np.concatenate(x) for x in (symbols, string, offset))
     symbols = symbols.astype(np.uint8 if symbols.max() < 256 else np.uint16)
-    place, block = merge(symbols, np.concatenate(before).astype(np.int32), np.concatenate(ends), length)
+    place, block = merge(symbols, np.concatenate(before).astype(np.int32), np.flatnonzero(offset >= length), length)
     string, offset = string[place], offset[place]
     if not len(block):
         return string, offset
@@ -478,7 +484,7 @@ def _windows_to_spans(length: int):
 
 def _compressed(batches):
     for b in batches:
-        c = zstandard.ZstdCompressor(level=3)
+        c = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.compress(x) for x in b.column(3).to_pylist()], pa.binary())], ["doc_id", "doc", "th", "z"])
 
 
