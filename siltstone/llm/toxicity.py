@@ -25,14 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import cluster
+from siltstone.llm import words as W
+from siltstone.llm.minhash import signature
 
 #: Labelled rows of each label that are used for fitting, at most.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Lengths of stems; entries a lexicon holds at most; evidence an entry needs (log-likelihood ratio, log-odds).
 STEMS, LEXICON, LEAST_LLR, LEAST_ODDS = (4, 5, 6, 7, 8), 1000, 28.0, 1.8
 THRESHOLD = 0.7
-#: Share of a further clause's weight that adds to the strongest; share of a stem's texts one word may explain.
-FURTHER, ONE_WORD = 0.25, 0.7
+#: Share of a further clause's weight that adds to the strongest; share of a stem's texts one word, or a longer stem, may explain.
+FURTHER, ONE_WORD, LONGER = 0.25, 0.7, 0.9
+#: MinHash coordinates of a fitting row, and how many equal ones make it a copy.
+SKETCH, ALIKE = 24, 8
 
 # Closed word classes of English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy murder stab shoot beat strangle töte töten umbringen tuer frapper matar matarte".split())
@@ -194,18 +198,45 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some MinHash coordinates of each text; none for a text without words."""
+    for batch in batches:
+        w, first = W.word_hashes(*W.buffers(batch.column(0)))
+        sets = W.distinct_per_text(*W.shingles(w, first, 2))
+        out = [signature(s)[:SKETCH].astype(int).tolist() if len(s) else [] for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "sketch"])
+
+
+def _distinct(sketches: list[tuple[int, list[int]]]) -> list[int]:
+    """The first id of each group of texts that have ``ALIKE`` coordinates in common with a kept one."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for doc_id, sketch in sketches:
+        common = Counter(i for c in enumerate(sketch) for i in seen.get(c, ()))
+        if not common or max(common.values()) < ALIKE:
+            kept.append(doc_id)
+            for c in enumerate(sketch):
+                seen.setdefault(c, []).append(doc_id)
+    return sorted(set(kept))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn the lexicon from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Uses up to ``FIT_TOXIC`` and ``FIT_CLEAN`` labelled ids, those of lowest hash. Labels
-    that are null or name no document teach nothing; an id labelled twice counts as toxic
+    that are null or name no document teach nothing; of texts that are nearly copies the one of
+    the least id teaches; an id labelled twice counts as toxic
     if either row says so. Without toxic rows the lexicon is empty.
     """
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ranked = ids.withColumn("_h", F.xxhash64("doc_id"))
     chosen = ranked.where("toxic = 1").orderBy("_h", "doc_id").limit(FIT_TOXIC).unionByName(ranked.where("toxic = 0").orderBy("_h", "doc_id").limit(FIT_CLEAN)).drop("_h")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most FIT_TOXIC + FIT_CLEAN ids
-    rows = cluster.saved(rows.select(F.col("text").cast("string").alias("text"), "toxic"), "labelled")
+    rows = cluster.saved(rows.select(F.col("text").cast("string").alias("text"), "toxic", "doc_id"), "labelled")
+    # Copies of one text are one observation, or its chance words would look significant.
+    sketches = sorted((r.doc_id, r.sketch) for r in rows.mapInArrow(_sketches, "doc_id long, sketch array<long>").collect())
+    single = docs.sparkSession.createDataFrame([(i,) for i in _distinct(sketches)], "doc_id long")
+    rows = rows.join(F.broadcast(single), "doc_id").select("text", "toxic")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, q = n.get(1, 0), n.get(0, 0)
     if not p:
@@ -227,9 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         .limit(LEXICON)
         .collect()
     )
-    words = [(r.entry, r.toxic) for r in found if not r.entry.endswith("*")]
-    # A stem that one word explains is no stem: it would only catch unrelated words that begin alike.
-    real = [r for r in found if not (r.entry.endswith("*") and any(w.startswith(r.entry[:-1]) and n >= ONE_WORD * r.toxic for w, n in words))]
+    # A stem that one word, or one longer stem, explains is too short: it would only add unrelated words that begin alike.
+    share = {r.entry: LONGER if r.entry.endswith("*") else ONE_WORD for r in found}
+    real = [
+        r
+        for r in found
+        if not (r.entry.endswith("*") and any(x.entry != r.entry and len(x.entry.rstrip("*")) >= len(r.entry) - 1 and x.entry.startswith(r.entry[:-1]) and x.toxic >= share[x.entry] * r.toxic for x in found))
+    ]
     entries = {r.entry: min(6.0, r.odds) for r in real}
     # What texts without any match are worth: toxic rows the lexicon misses against clean ones.
     grammar = Grammar(entries, 0.0)
