@@ -42,7 +42,7 @@ from siltstone.llm.minhash import group_bounds, grouped
 
 LENGTH, GRAM = 100, 32
 #: Anchors a task folds at a time, bytes of text a shard of anchors stands for, contexts of a group, bytes of a batch, transforms of a batch.
-FOLD, SHARD_BYTES, WIDE, BATCH_BYTES, TRANSFORMS = 1 << 20, 24_000_000, 2048, 1 << 20, 4
+FOLD, SHARD_BYTES, WIDE, BATCH_BYTES, TRANSFORMS = 1 << 19, 6_000_000, 2048, 1 << 20, 4
 #: Sample for common anchors: texts, and how many of them an anchor must be in.
 SAMPLE_TEXTS, COMMON = 20_000, 40
 _POS = np.uint64((1 << 24) - 1)
