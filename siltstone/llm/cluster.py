@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,12 @@ BATCH_ROWS = 400
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one row may hold a very long text."""
+    """Keep Arrow batches small, as one row may hold a very long text, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -115,6 +115,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     An empty table gives two empty results. More than a million sources raise an error.
     """
     spark = docs.sparkSession
+    cluster.tune(spark)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
     base = cluster.saved(
         docs.select(
