@@ -42,7 +42,9 @@ from siltstone.llm.minhash import group_bounds, grouped
 
 LENGTH, GRAM = 100, 32
 #: Anchors a task folds at a time, bytes of text a shard of anchors stands for, contexts of a group, bytes of a batch, transforms of a batch.
-FOLD, SHARD_BYTES, WIDE, BATCH_BYTES, TRANSFORMS = 1 << 19, 6_000_000, 2048, 1 << 20, 4
+FOLD, SHARD_BYTES, WIDE, BATCH_BYTES, TRANSFORMS = 1 << 19, 12_000_000, 2048, 1 << 20, 4
+#: Ranges and requests a task holds before it sends them on.
+HELD = 1 << 19
 #: Sample for common anchors: texts, and how many of them an anchor must be in.
 SAMPLE_TEXTS, COMMON = 20_000, 40
 _POS = np.uint64((1 << 24) - 1)
@@ -256,9 +258,26 @@ def _fold(length: int, bits: int, common: np.ndarray):
 
 
 def _shard(length: int):
-    """Anchors of a shard: repeats of equal contexts, and requests for the contexts of anchors that have several."""
+    """Anchors of a shard: repeats of equal contexts, and requests for the contexts of anchors that have several.
+
+    What the shards of a task find is held together, so that a text gets few rows.
+    """
 
     def run(batches):
+        spans: list[list[np.ndarray]] = []
+        asked: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            if spans:
+                rows += _span_rows(*(np.concatenate(c) for c in zip(*spans)))
+            if asked:
+                doc, th, *columns = (np.concatenate(c) for c in zip(*asked))
+                rows += [(ASKED, 0, d, t, table.astype(np.int64).tobytes()) for d, t, table in _by_doc(doc, th, columns)]
+            spans.clear(), asked.clear()
+            for i in range(0, len(rows), 400):
+                yield _rows(rows[i : i + 400])
+
         for table in grouped(batches, 1):
             bounds = group_bounds(table, 1)
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -278,13 +297,13 @@ def _shard(length: int):
                 ah, doc, th, pos, right = (x[order] for x in (ah, doc, th, pos, right))
                 lo, hi = _context_span(pos, right, length)
                 again = ~new & (hi - lo >= length)
-                rows = _span_rows(doc[again], th[again], lo[again], hi[again])
+                spans.append([doc[again], th[again], lo[again], hi[again]])
                 classes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
                 ask = new & (classes > 1)
-                for d, t, req in _by_doc(doc[ask], th[ask], [pos[ask], right[ask], ah[ask].view(np.int64), (classes[ask] > WIDE).astype(np.int64)]):
-                    rows.append((ASKED, 0, d, t, req.astype(np.int64).tobytes()))
-                for i in range(0, len(rows), 400):
-                    yield _rows(rows[i : i + 400])
+                asked.append([doc[ask], th[ask], pos[ask], right[ask], ah[ask].view(np.int64), (classes[ask] > WIDE).astype(np.int64)])
+                if sum(len(x[0]) for x in (*spans, *asked)) >= HELD:
+                    yield from out()
+        yield from out()
 
     return run
 
