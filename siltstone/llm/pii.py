@@ -1,15 +1,16 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-Four patterns give the base spans. The field adds spans the patterns cannot see (spelled
-out or bracketed addresses, numbers without a country code, grouped digits): it scores
+Four patterns give the base spans. The field adds spans the patterns cannot see (addresses
+with a bracketed at, numbers without a country code, grouped digits): it scores
 whole candidate segments with features of the entire span (its shape, digit count, check
 sum, octets, the word before), and dynamic programming over segment ends, with entities
 of bounded length, chooses boundaries and types jointly.
 
 The field is trained here, by conditional likelihood, on sentences drawn from a small
-generator of formats and look-alikes (fixed seed), so it is the same in every run. Only
-words that hold a digit, an @ or a bracketed sign can start or end an entity, so text
-without them decodes to "no entity" and is skipped exactly.
+generator of formats and look-alikes (fixed seed), so it is the same in every run. It
+scores segments of two sorts: those that hold a bracketed at (in any case), and those
+that start and end in a word with a digit or an @, where at most two words and 12
+characters of one line lie between such words. Text without these signs has no segment.
 
 Scale: one pass over whole texts, no shuffle. All scans are linear in the text.
 """
@@ -21,6 +22,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +85,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_AT = re.compile(r"[(\[][aA][tT][)\]]")
+_TRIGGER = re.compile(rf"[0-9@]|{_AT.pattern}")
 _SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
 _CUE = re.compile(r"^(?:tel|phone|call|mobile|fax|telefon|tél|llame|card|visa|mastercard|karte|carte|tarjeta|mail|e-mail|email|contact|ip|host|address|from)\W*$", re.I)
 _OPEN, _CLOSE = "\"'<", ".,;:!?\"'>"
 
@@ -105,19 +109,46 @@ def trigger_words(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def close(text: str, a: int, b: int) -> bool:
+    """Whether ``a`` to ``b`` may lie between two trigger words of an entity: one line, short, two words at most."""
+    return b - a <= 12 and "\n" not in text[a:b] and len(text[a:b].split()) <= 2
+
+
+def words_before(text: str, at: int, done: int) -> list[tuple[int, int]]:
+    """The last words of ``text[done:at]``, as many as an entity can have before another word."""
+    out: list[tuple[int, int]] = []
+    while len(out) < MAX_WORDS - 1:
+        while at > done and text[at - 1].isspace():
+            at -= 1
+        end = at
+        while at > done and not text[at - 1].isspace():
+            at -= 1
+        if at == end:
+            break
+        out.append((at, end))
+    return out[::-1]
+
+
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of trigger words with at most two short words between neighbours, as word spans."""
+    """Runs of trigger words that are close, with the words between, as word spans; a bracketed at brings all words an entity around it can have."""
     out: list[list[tuple[int, int]]] = []
     for a, b in trigger_words(text):
         if b - a > 80:
             continue
-        if out and a - out[-1][-1][1] <= 12 and "\n" not in text[out[-1][-1][1] : a]:
-            gap = text[out[-1][-1][1] : a]
-            between = [(out[-1][-1][1] + m.start(), out[-1][-1][1] + m.end()) for m in re.finditer(r"\S+", gap)]
-            if len(between) <= 2:
-                out[-1].extend([*between, (a, b)])
-                continue
-        out.append([(a, b)])
+        done = out[-1][-1][1] if out else 0
+        spelled = _AT.search(text, a, b)
+        if a >= done:
+            before = words_before(text, a, done) if spelled else []
+            if out and close(text, done, a):
+                out[-1] += [m.span() for m in _WORD.finditer(text, done, a)]
+            elif out and before and not text[done : before[0][0]].strip():
+                out[-1] += before
+            else:
+                out.append(before)
+            out[-1].append((a, b))
+        if spelled:
+            done = out[-1][-1][1]
+            out[-1] += [m.span() for m in islice(_WORD.finditer(text, b), MAX_WORDS - 1) if m.start() >= done]
     return out
 
 
@@ -131,7 +162,9 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 _PLAIN_MAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
-_SPELLED_MAIL = re.compile(r"[\w.%+-]+ ?[(\[]at[)\]] ?[\w-]+(?: ?(?:[(\[]dot[)\]]|\.) ?[\w-]+)+", re.I)
+# A plain dot has no space beside it, or the next sentence would look like part of the domain.
+_DOT = r"(?: ?[(\[]dot[)\]] ?|\.)"
+_SPELLED_MAIL = re.compile(rf"[\w.%+-]+ ?[(\[]at[)\]] ?[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_][\w-]*", re.I)
 
 
 def span_features(span: str, before: str, n_words: int) -> list[str]:
@@ -201,15 +234,19 @@ class SemiMarkov:
 
 
 def candidates(text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
-    """Features of all segments that start and end in a trigger word, or spell an address around one."""
+    """Features of all segments that hold a bracketed at, or start and end in trigger words and are close throughout."""
     marked = [bool(_TRIGGER.search(text, a, b)) for a, b in words]
+    spelled = [bool(_AT.search(text, a, b)) for a, b in words]
     before_all = text[max(0, words[0][0] - 40) : words[0][0]].split()
     out = {}
     for i in range(len(words)):
+        last, whole, around = i, marked[i], False
         for j in range(i + 1, min(len(words), i + MAX_WORDS) + 1):
-            if not any(marked[i:j]):
-                continue
-            if not (marked[i] and marked[j - 1]) and not any(x in text[words[i][0] : words[j - 1][1]] for x in ("(at)", "[at]")):
+            around = around or spelled[j - 1]
+            if marked[j - 1]:
+                whole = whole and (j - 1 == i or close(text, words[last][1], words[j - 1][0]))
+                last = j - 1
+            if not (around or whole and marked[j - 1]):
                 continue
             a, b = trimmed(text, words[i][0], words[j - 1][1])
             if a >= b:

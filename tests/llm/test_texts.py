@@ -375,6 +375,33 @@ def test_model_adds_spans_and_keeps_base_ones(spark):
     assert pii.find_spans(frame(spark, [])).count() == 0
 
 
+def test_spelled_addresses(spark):
+    texts = {
+        "mail joe (at) corp.com, ip 10.0.0.1": ["joe (at) corp.com", "10.0.0.1"],
+        "write to a [at] b (dot) org now": ["a [at] b (dot) org"],
+        "Joe (AT) Corp (DOT) com": ["Joe (AT) Corp (DOT) com"],
+        "anna (at) firma.de or bob (at) firma (dot) de. Thanks, call (606) 555-7814": ["anna (at) firma.de", "bob (at) firma (dot) de", "(606) 555-7814"],
+        "we met (at) noon. Then all left (at) once": [],
+        "(at) " * 500: [],
+    }
+    model = pii.train()
+    for text, want in texts.items():
+        found = pii.all_spans(text, pii.base_spans(text), model)
+        assert sorted(text[a:b] for _, a, b in found) == sorted(want), text
+    first = pii.redacted(frame(spark, [(1, next(iter(texts)), "s")])).first().text
+    assert first == "mail <EMAIL>, ip <IP>"
+
+
+def test_spelled_addresses_are_trained_on():
+    rng = random.Random(99)
+    model, want, found = pii.train(), 0, 0
+    for _ in range(400):
+        text, spans = pii._example(rng)
+        spelled = {("email", a, b) for a, b, k in spans if pii.KINDS[k] == "email" and "@" not in text[a:b]}
+        want, found = want + len(spelled), found + len(spelled & set(pii.all_spans(text, pii.base_spans(text), model)))
+    assert want > 50 and found == want
+
+
 def test_decoding_is_the_best_segmentation():
     rng = random.Random(2)
     model = pii.SemiMarkov()
