@@ -45,7 +45,8 @@ NEGATIONS = frozenset("not no never isn't aren't don't doesn't wasn't nobody nic
 REPORTING = frozenset("said says wrote told quoted claimed called reported sagte schrieb dit écrit dijo escribió".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_END = re.compile(r"[.!?;\n]")
+_MARKS = ".!?;\n"
+_END = re.compile(f"[{_MARKS}]")
 
 
 class Transducer:
@@ -170,10 +171,7 @@ class Grammar:
             a = end - size + 1
             if a < done or (a and low[a - 1].isalpha()):
                 continue
-            start = done
-            for m in _END.finditer(low, max(done, a - 400), a):
-                start = m.end()
-            start = max(start, a - 400)
+            start = max(done, *(low.rfind(mark, done, a) + 1 for mark in _MARKS))
             stop = _END.search(low, a)
             done = stop.start() if stop else len(low)
             weight = self.clause(low[start:done])

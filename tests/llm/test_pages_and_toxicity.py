@@ -73,6 +73,17 @@ def labelled(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, toxic string, score double"), spark.createDataFrame([*labels, (None, 1, 1), (9999, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_long_clauses_are_read_whole():
+    grammar = toxicity.Grammar({"blorp": 4.0, "dword": 3.0}, -3.0)
+    plain, reported = grammar.score("blorp"), grammar.score("someone said blorp")
+    assert reported < plain
+    for n in (10, 100, 10_000):
+        assert grammar.score("first. someone said " + "word " * n + "blorp") == reported
+        assert grammar.score("someone said. " + "word " * n + "blorp") == plain
+    # A cut may not start inside a word: "good" + "dword" is another word than "dword".
+    assert grammar.score("a" * 20 + "dword" * 100 + " blorp") == plain
+
+
 def test_toxicity_learns(spark):
     docs, labels = labelled(spark)
     rows = toxicity.toxicity(docs, labels).collect()
