@@ -133,8 +133,6 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
     """Runs of trigger words that are close, with the words between, as word spans; a bracketed at brings all words an entity around it can have."""
     out: list[list[tuple[int, int]]] = []
     for a, b in trigger_words(text):
-        if b - a > 80:
-            continue
         done = out[-1][-1][1] if out else 0
         spelled = _AT.search(text, a, b)
         if a >= done:
@@ -183,7 +181,7 @@ def span_features(span: str, before: str, n_words: int) -> list[str]:
     elif _SPELLED_MAIL.fullmatch(span):
         f.append("spelled-mail")
     if nd and not letters:
-        if nd >= 13 and luhn("".join(digits)):
+        if 13 <= nd <= 19 and luhn("".join(digits)):  # a longer run of digits is no card
             f.append("luhn")
         groups = re.split(r"\D+", span.strip("+() "))
         f.append("groups=" + "-".join(str(min(len(g), 5)) for g in groups[:6]))

@@ -392,6 +392,19 @@ def test_spelled_addresses(spark):
     assert first == "mail <EMAIL>, ip <IP>"
 
 
+def test_long_words_are_scored():
+    model = pii.train()
+    for address in ("joe(at)" + "x" * 90 + ".com", "j" * 200 + " (at) " + "corp." * 40 + "de"):
+        text = f"mail {address}, please"
+        assert [text[a:b] for _, a, b in pii.all_spans(text, pii.base_spans(text), model)] == [address]
+    rng = random.Random(6)
+    for alphabet in ("0123456789abcdef", "0123456789ABCDEFabcdef+/=", "0123456789"):
+        for n in (81, 200, 5000):
+            for _ in range(20):
+                text = "id " + "".join(rng.choice(alphabet) for _ in range(n)) + " end"
+                assert pii.all_spans(text, [], model) == [], text
+
+
 def test_spelled_addresses_are_trained_on():
     rng = random.Random(99)
     model, want, found = pii.train(), 0, 0
