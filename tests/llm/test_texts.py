@@ -86,6 +86,17 @@ def test_near_duplicates_of_odd_rows(spark, monkeypatch):
     assert list(kept[0].asDict()) == frame(spark, []).columns
 
 
+def test_duplicates_are_decided_by_row(spark):
+    rng = random.Random(12)
+    one, two, three, four = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(40)) for c in "pqrs")
+    rows = [(4, one, "s"), (4, two, "s"), (4, two, "s"), (7, one + " end", "s"), (7, three, "s"), (2, two + " end", "s"), (9, four, "s"), (9, four + " end", "s")]
+    rows += [(9, "", "s"), (9, None, "s"), (9, " ", "s"), (5, "", "s"), (5, "", "s"), (None, one, "s"), (None, one, "s")]
+    kept = collections.Counter((r.doc_id, r.text) for r in minhash.deduplicated(frame(spark, rows)).collect())
+    want = [(4, one), (7, three), (2, two + " end"), (9, four), (9, ""), (9, None), (9, " "), (5, ""), (5, ""), (None, one), (None, one)]
+    assert kept == collections.Counter(want)
+    assert collections.Counter((r.doc_id, r.text) for r in minhash.deduplicated(frame(spark, [r for r in rows if r[0] == 5])).collect()) == {(5, ""): 2}
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(minhash, "VERIFY_BLOCK", 6)
