@@ -4,7 +4,8 @@ A tolerant one-pass parser builds the element tree. Every element gets its compo
 density: characters per tag, adjusted by how much of it is link text, relative to the page.
 The element whose children's densities sum highest is the content; the least density on its
 path to the body is the threshold from which other subtrees are searched the same way.
-Subtrees that are page furniture by element or class are left out before.
+Subtrees that are page furniture by element or class are left out before, and lists of links
+beside the content (over two links that are over 60 % of the text) after; those in it stay.
 
 Scale: one pass, a page at a time, no shuffle; the parser is linear in the page.
 """
@@ -212,14 +213,15 @@ def _best(top: Node) -> Node:
     return best
 
 
-def _content(body: Node) -> set[int]:
-    """Ids of the elements whose whole text is content."""
+def _content(body: Node) -> tuple[set[int], set[int]]:
+    """Ids of the elements whose whole text is content; ids of the densest one and what it is in."""
     best = _best(body)
     if best.total <= 0:
-        return {id(body)}
-    path, threshold = best, best.density
+        return {id(body)}, {id(body)}
+    path, threshold, around = best, best.density, {id(body)}
     while path is not None and path is not body:
         threshold = min(threshold, path.density)
+        around.add(id(path))
         path = path.parent
     threshold = min(threshold, body.density)
     chosen, stack = {id(best)}, [body]
@@ -233,7 +235,11 @@ def _content(body: Node) -> set[int]:
             if id(node) in chosen:
                 continue
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
-    return chosen
+    return chosen, around
+
+
+def _is_link_list(node: Node) -> bool:
+    return node.tag in BLOCK and node.link_tags > 2 and node.link_chars > 0.6 * node.chars
 
 
 def extract(page: str | None) -> str:
@@ -246,7 +252,7 @@ def extract(page: str | None) -> str:
     if body is not root and not body.chars:
         body = root
     _densities(order, body)
-    chosen = _content(body)
+    chosen, around = _content(body)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -264,7 +270,7 @@ def extract(page: str | None) -> str:
         elif isinstance(node, str):
             if inside:
                 line.append(node)
-        elif not node.dropped and not (node.tag in BLOCK and node.link_tags > 2 and node.link_chars > 0.6 * node.chars):  # lists of links
+        elif not node.dropped and (inside or id(node) in around or not _is_link_list(node)):
             here = inside or id(node) in chosen
             if node.tag in BLOCK:
                 close()

@@ -28,6 +28,16 @@ def test_article(page):
     assert html_text.extract(page) == WANT
 
 
+def test_link_lists_of_the_article_stay():
+    text = "<p>Long running text of the article with many words in it, and no link at all, so that it is dense enough to be chosen.</p>"
+    refs = "<ul><li><a href=1>First reference</a></li><li><a href=2>Second reference</a></li><li><a href=3>Third reference</a></li></ul>"
+    links = "<p>See <a href=1>the first of the papers</a>, <a href=2>the second of them</a>, <a href=3>the third of them</a>.</p>"
+    lines = html_text.extract(f"<body><nav>menu</nav><article>{text * 3}{refs}{links}{text}</article></body>").split("\n")
+    assert lines[3:7] == ["First reference", "Second reference", "Third reference", "See the first of the papers, the second of them, the third of them."] and len(lines) == 8
+    beside = html_text.extract(f"<body>{refs * 12}<article>{text * 2}</article></body>").split("\n")
+    assert len(beside) == 2 and all(x.startswith("Long running") for x in beside)
+
+
 def test_broken_pages():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>x</script>") == ""
     assert html_text.extract("just text & more") == "just text & more"
