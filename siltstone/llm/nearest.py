@@ -229,8 +229,8 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, chance: float =
     seen before the search stops.
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
-    rows with a null vec_id, and vectors of another dimension than most take no part. With
-    fewer than ``k`` candidates all are returned. Of repeated rows of one vec_id each is a
+    and rows with a null vec_id take no part. Vectors are compared with those of their own
+    dimension; each dimension that is asked for has an index. With fewer than ``k`` candidates all are returned. Of repeated rows of one vec_id each is a
     candidate; a query repeated with one vec_id is answered once per distinct vector.
     Other columns are ignored. An empty table gives an empty result.
     """
@@ -243,18 +243,24 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = 10, chance: float =
         base.withColumn("_n", F.row_number().over(first)).where(f"_n <= {k + 1}").groupBy("dim", "h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vec").alias("vec")),
         "classes",
     )
+    asked = V.canonical(queries.select("vec_id", "embedding")).where("vec IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id", "dim", "h1", "h2"])
+    asked = cluster.saved(asked.select("dim", F.col("vec_id").alias("id"), "vec"), "queries")
+    wanted = {r.dim for r in asked.select("dim").distinct().collect()}
+    counts = sorted((r.dim, r.n) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect() if r.dim in wanted)
+    out = None
+    for dim, count in counts:
+        part = _of_dimension(classes.where(f"dim = {dim}"), asked.where(f"dim = {dim}").drop("dim"), count, k, chance)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _of_dimension(classes: DataFrame, asked: DataFrame, count: int, k: int, chance: float) -> DataFrame:
+    """Answers to ``asked(id, vec)`` from ``count`` distinct vectors ``classes(dim, ids, vec)`` of one dimension."""
     sample = V.sampled(classes, SAMPLE)
-    count = classes.count()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = Index(sample, min(-(-count // CELL_ROWS), max(1, len(sample) // 16)))
     ratio = stop_ratio(chance)
     schema = "cell long, is_query int, id long, bound double, ids array<long>, vec binary"
-    asked = V.canonical(queries.select("vec_id", "embedding")).where(f"vec IS NOT NULL AND vec_id IS NOT NULL AND dim = {index.dim}").dropDuplicates(["vec_id", "h1", "h2"])
-    asked = cluster.saved(asked.select(F.col("vec_id").alias("id"), "vec"), "queries")
-    held = cluster.saved(
-        classes.where(f"dim = {index.dim}").select(F.col("ids")[0].alias("id"), "ids", "vec").mapInArrow(_smallest(False)(index), schema), "cells"
-    )
+    held = cluster.saved(classes.select(F.col("ids")[0].alias("id"), "ids", "vec").mapInArrow(_smallest(False)(index), schema), "cells")
 
     def searched(who: DataFrame) -> DataFrame:
         return held.unionByName(who).repartition("cell").sortWithinPartitions("cell", "is_query", "id").mapInArrow(_search(index, k, ratio), "query_id long, vec_id long, score double")

@@ -88,6 +88,21 @@ def test_nearest_of_few(spark):
     assert nearest.nearest(e, e).count() == 0
 
 
+def test_nearest_within_each_dimension(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(d).tolist(), 0) for i, d in enumerate([12] * 60 + [5] * 30 + [2] * 4 + [3])]
+    f = frame(spark, rows)
+    got = nearest.nearest(f, f.where("vec_id % 3 = 0 OR vec_id > 85"), k=4).collect()
+    vec = {i: np.float32(v).astype(float) for i, v, _ in rows}
+    for q in (i for i in vec if i % 3 == 0 or i > 85):
+        want = sorted((float(np.sqrt(((vec[q] - v) ** 2).sum())), i) for i, v in vec.items() if i != q and len(v) == len(vec[q]))[:4]
+        mine = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, len(want) + 1))
+        assert all(len(vec[i]) == len(vec[q]) for _, _, i in mine)
+        if len(vec[q]) < 12:
+            assert [(s, i) for _, s, i in mine] == want
+
+
 def test_chi_square():
     assert abs(float(nearest.chi_square_cdf(np.array(15.507), 8)) - 0.95) < 1e-4
     rng = random.Random(1)
