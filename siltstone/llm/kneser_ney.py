@@ -1,26 +1,36 @@
-"""Interpolated modified Kneser-Ney word model, counted in Spark and read by memory map.
-
-Counting: every task folds its n-grams (order 2: previous word, word) into sorted runs of
-distinct pairs, split by hash over shards; a reducing task per shard sums them, writes the
-shard's sorted hash array into the shared folder, and sends per-word partial statistics on
-to word shards. Pairs are spread by the hash of both words, so a word that makes up a third
-of the text is spread over all shards, and reaches its word shard pre-summed.
-
-Scoring: workers map the arrays (never load them) and look up sorted distinct n-grams of a
-batch of texts. Nothing about the corpus is collected but a handful of totals. Order 2 is
-used since with an open vocabulary most longer n-grams occur once: they would triple the
-shuffle and cost more disk than the input has; see README.
+"""Interpolated modified Kneser-Ney word model of any order, counted in Spark and read by memory map.
+
+Vocabulary: every task folds its words into a sorted run of distinct 64-bit hashes, split
+over shards; a shard sums them, writes its sorted hash array into the shared folder and
+numbers its words by falling count, so that a word's id is small where it is frequent.
+
+Counting: tasks look ids up in the mapped vocabulary, fold their n-grams into runs of
+distinct ones, and send them to shards by the 64-bit hash of the whole n-gram. A shard of
+level k sums its grams, writes their sorted hash array, and sends on to level k - 1 what
+each gram is to its suffix (one more left context) and to its prefix (one more follower),
+summed within the shard. As whole grams are hashed, a word or a context that makes up a
+third of the text is spread over all shards and reaches any one as one row a shard.
+
+Scoring: the n-grams of a few megabytes of text at a time are looked up in sorted order,
+shard after shard; an array is mapped for its look-up and let go, so what a worker holds
+does not grow with the model. All 64 bits of a hash are compared. Nothing about the corpus
+is collected but a handful of totals.
+
+Files: every shard of every level is written, an empty one too, and a manifest at the end;
+a file that is missing or too short is an error, never an unseen n-gram.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,51 +39,70 @@ from siltstone.llm import cluster
 from siltstone.llm import words as W
 from siltstone.llm.minhash import group_bounds, grouped
 
-_MASK = np.uint64((1 << 56) - 1)
+ORDER = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Ids of the end token and of the context before the first word; a word hashes to one of them with a chance of 2**-55.
-END, BEGIN = np.uint64(1 << 55 | 1), np.uint64(1 << 55 | 2)
-#: Distinct n-grams a task folds before it sends them on, and bytes of text a shard stands for.
-FOLD, SHARD_BYTES = 1 << 20, 12_000_000
+#: Hashes of the end token and of the token that stands before a text; a word meets one of them with a chance of 2**-63.
+END, BEGIN = np.uint64(0x5BF0_3635_DE5C_A1B1), np.uint64(0xC2B7_4F1D_9A60_77E3)
+#: Tokens whose n-grams a task folds at a time, distinct words it holds, tokens it scores at a time, bytes of text a shard stands for.
+FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 8_000_000
+#: Bytes of text whose hashes are held at a time; rows end where they end.
+TEXT_BYTES = 4 << 20
+#: Bits of a hash a gram file stores with each gram; the bits above are given by the shard and the place.
+STORED = 48
+_MAX_BITS = 20
 
 
-def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token ids, ids of the tokens before them, offsets per text); each text ends in END."""
+# ---- tokens and grams ------------------------------------------------------------------------------------------------
+
+
+def tokens(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes, offsets per text); each text ends in END."""
     w, first = W.word_hashes(body, offsets)
     ends = first[1:] + np.arange(len(first) - 1)
     tok = np.empty(len(w) + len(ends), np.uint64)
     is_word = np.ones(len(tok), bool)
     is_word[ends] = False
-    tok[is_word] = w & _MASK
+    tok[is_word] = w
     tok[ends] = END
-    before = np.empty_like(tok)
-    before[1:] = tok[:-1]
-    starts = np.concatenate([[0], ends + 1]).astype(np.int64)
-    if len(tok):
-        before[starts[:-1]] = BEGIN
-    return tok, before, starts
+    return tok, np.concatenate([[0], ends + 1]).astype(np.int64)
 
 
-def pair_hash(before: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    return W.mix(W.mix(before * _ODD + np.uint64(11)) + tok)
+def padded(ids: np.ndarray, starts: np.ndarray, begin: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with ``order - 1`` begins before each text, and the places of the tokens among them."""
+    n = len(starts) - 1
+    at = np.arange(len(ids)) + np.repeat((np.arange(n) + 1) * (order - 1), np.diff(starts))
+    out = np.full(len(ids) + n * (order - 1), begin, np.uint64)
+    out[at] = ids
+    return out, at
 
 
-def word_key(tok: np.ndarray) -> np.ndarray:
-    """Bijective on 64 bits, so that word shards are even."""
-    return W.mix(tok + np.uint64(77))
+def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = W.mix(columns[0] * _ODD + np.uint64(11 + len(columns)))
+    for c in columns[1:]:
+        h = W.mix(h * _ODD + c)
+    return h
 
 
-def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(order of first rows, sorted distinct keys, sums of values by key)."""
-    order = np.argsort(key)
-    k = key[order]
-    head = np.empty(len(k), bool)
-    if len(k):
+def _heads(sorted_keys: np.ndarray) -> np.ndarray:
+    head = np.empty(len(sorted_keys), bool)
+    if len(head):
         head[0] = True
-        np.not_equal(k[1:], k[:-1], out=head[1:])
-    at = np.flatnonzero(head)
-    sums = [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
-    return order[at], k[at], sums
+        np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=head[1:])
+    return np.flatnonzero(head)
+
+
+def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, heads) if len(heads) else values[:0]
+
+
+def _edges(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of runs of equal values."""
+    cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(shard[a]), int(a), int(b)
+
+
+# ---- runs ------------------------------------------------------------------------------------------------------------
 
 
 def _put_small(x: np.ndarray) -> bytes:
@@ -83,155 +112,386 @@ def _put_small(x: np.ndarray) -> bytes:
     return np.array([len(at)], np.int64).tobytes() + at.tobytes() + x[at].astype(np.int64).tobytes() + low.tobytes()
 
 
-def _get_small(data: memoryview, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    m = int(np.frombuffer(data, np.int64, 1)[0])
-    at = np.frombuffer(data, np.int64, m, 8)
-    big = np.frombuffer(data, np.int64, m, 8 + 8 * m)
-    low = np.frombuffer(data, np.uint8, n, 8 + 16 * m)
-    return low, at, big, 8 + 16 * m + n
-
-
-def _expand(small: tuple, where: np.ndarray) -> np.ndarray:
-    low, at, big = small[:3]
-    out = low[where].astype(np.int64)
-    over = np.flatnonzero(out == 255)
-    if len(over):
-        out[over] = big[np.searchsorted(at, where[over])]
-    return out
+def _get_small(data, n: int, at: int) -> tuple[np.ndarray, int]:
+    m = int(np.frombuffer(data, np.int64, 1, at)[0])
+    out = np.frombuffer(data, np.uint8, n, at + 8 + 16 * m).astype(np.int64)
+    out[np.frombuffer(data, np.int64, m, at + 8)] = np.frombuffer(data, np.int64, m, at + 8 + 8 * m)
+    return out, at + 8 + 16 * m + n
 
 
-def _pack(ids: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows sorted by ids[0]; ids of 56 bits."""
-    seven = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :7]
-    parts = [np.array([len(ids[0])], np.int64).tobytes(), seven(np.diff(ids[0], prepend=np.uint64(0))).T.tobytes()]
-    parts += [seven(x).tobytes() for x in ids[1:]] + [_put_small(x) for x in counts]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows sorted by their first column, which goes as differences; the bytes of a column stand by significance."""
+    parts = [np.array([len(columns[0])], np.int64).tobytes()]
+    for k, c in enumerate(columns):
+        x = np.ascontiguousarray(np.diff(c, prepend=np.uint64(0)) if k == 0 else c)
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        parts += [bytes([width]), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, *(_put_small(x) for x in counts)]))
 
 
-def _unpack(blob: bytes, n_ids: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _unpack(blob: bytes, n_columns: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    at, ids, counts = 8, [], []
-    for k in range(n_ids):
-        raw = np.frombuffer(data, np.uint8, 7 * n, at)
+    n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
+    columns, counts = [], []
+    for k in range(n_columns):
+        width = data[at]
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :7] = raw.reshape(7, n).T if k == 0 else raw.reshape(n, 7)
+        wide[:, :width] = np.frombuffer(data, np.uint8, width * n, at + 1).reshape(width, n).T
         x = wide.view(np.uint64)[:, 0]
-        ids.append(np.cumsum(x, dtype=np.uint64) if k == 0 else x)
-        at += 7 * n
-    view = memoryview(data)
+        columns.append(np.cumsum(x, dtype=np.uint64) if k == 0 else x)
+        at += 1 + width * n
     for _ in range(n_counts):
-        small = _get_small(bytes(view[at:]), n)
-        counts.append(_expand(small, np.arange(n)))
-        at += small[3]
-    return ids, counts
-
-
-def _by_shard(shard: np.ndarray, order_key: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((order_key, shard))
-    s = shard[order]
-    edges = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]]) if len(s) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:]):
+        x, at = _get_small(data, n, at)
+        counts.append(x)
+    return columns, counts
+
+
+#: What a row is: a run of grams (or words) with counts, grams as suffixes, grams as contexts, totals of a shard.
+GRAMS, SUFFIXES, CONTEXTS, TOTALS, NOTHING = range(5)
+_ROW = "shard long, kind int, level int, blob binary, stat array<long>"
+_NAMES = ["shard", "kind", "level", "blob", "stat"]
+_STATS = ("n1", "n2", "n3", "n4", "n3plus", "types", "tokens", "largest")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], _NAMES)
+
+
+def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield _rows(rows[i : i + 64])
+
+
+def _gram_rows(kind: int, level: int, columns: list[np.ndarray], counts: list[np.ndarray], bits: int) -> list[tuple]:
+    """Runs by shard of the whole gram; within a shard by ids, which pack better than hashes."""
+    if not len(columns[0]):
+        return []
+    shard = gram_hash(columns) >> np.uint64(64 - bits)
+    # Shard, first id and as much of the second as fits in one key: rows pack as well as fully sorted.
+    width = int(max(c.max() for c in columns[:2])).bit_length()
+    room = 64 - bits - width
+    key = columns[1] << np.uint64(room - width) if room >= width else columns[1] >> np.uint64(width - room)
+    order = np.argsort(shard << np.uint64(64 - bits) | columns[0] << np.uint64(room) | key)
+    shard = shard.astype(np.int64)
+    out = []
+    for s, a, b in _edges(shard[order]):
         rows = order[a:b]
-        yield int(s[a]), _pack([x[rows] for x in ids], [x[rows] for x in counts])
+        out.append((s, kind, level, _pack([c[rows] for c in columns], [x[rows] for x in counts]), None))
+    return out
 
 
-def _blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    for table in grouped(batches, 1):
+        bounds = group_bounds(table, 1)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            yield int(table.column(0)[int(a)].as_py()), table.slice(a, b - a)
 
 
-def _fold_pairs(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+def _of_counts(x: np.ndarray) -> list[int]:
+    return [int((x == k).sum()) for k in (1, 2, 3, 4)] + [int((x >= 3).sum())]
 
-        def out():
-            before, tok = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            h = pair_hash(before, tok)
-            at, key, (n,) = _summed(h, np.ones(len(h), np.int64))
-            yield _blob_batch(list(_by_shard((key >> np.uint64(64 - bits)).astype(np.int64), before[at], [before[at], tok[at]], [n])))
-
-        for batch in batches:
-            tok, before, _ = tokens(*W.buffers(batch.column(0)))
-            for i in range(0, len(tok), FOLD):
-                held.append((before[i : i + FOLD], tok[i : i + FOLD]))
-                size += len(held[-1][0])
-                if size >= FOLD:
-                    yield from out()
-                    size = 0
-        if held:
-            yield from out()
 
-    return run
+# ---- files -----------------------------------------------------------------------------------------------------------
 
 
-def _write(path: str, parts: list[bytes]) -> None:
-    """Whole or not at all: a task that runs twice writes the same file."""
+def _write(path: str, n: int, parts: list[bytes]) -> None:
+    """Whole or not at all: a task that runs twice writes the same file. Starts with its rows and its size."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     own = f"{path}.{uuid.uuid4().hex}"
+    size = 16 + sum(len(p) for p in parts)
     with open(own, "wb") as f:
+        f.write(np.array([n, size], np.int64).tobytes())
         for p in parts:
             f.write(p)
     os.replace(own, path)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], n_ids: int, n_counts: int) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
-    for table in grouped(batches, 1):
-        bounds = group_bounds(table, 1)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            got = [_unpack(x, n_ids, n_counts) for x in table.column(1)[a:b].to_pylist()]
-            yield (
-                int(table.column(0)[int(a)].as_py()),
-                [np.concatenate(x) for x in zip(*(g[0] for g in got))],
-                [np.concatenate(x) for x in zip(*(g[1] for g in got))],
-            )
+def _mapped(path: str) -> tuple[np.memmap, int]:
+    """A file of the model and its rows; an error where it is missing or not whole."""
+    raw = np.memmap(path, np.uint8, "r")
+    n, size = (int(x) for x in raw[:16].view(np.int64)) if len(raw) >= 16 else (0, -1)
+    if size != len(raw):
+        raise OSError(f"{path}: damaged file of the model, {len(raw)} bytes")
+    return raw, n
+
+
+def _codes(columns: list[np.ndarray]) -> list[bytes]:
+    """Rows of several counts as numbers of the distinct rows: width of a number and how many rows, the rows, the numbers."""
+    table = np.stack(columns, axis=1)
+    room = 60 // len(columns)
+    small = (table < 1 << room).all(axis=1)
+    key = np.zeros(len(table), np.int64)
+    for c in columns:
+        key = key << room | c
+    _, first, at = np.unique(key[small], return_index=True, return_inverse=True)
+    distinct, numbers = table[small][first], np.zeros(len(table), np.int64)
+    numbers[small] = at
+    if not small.all():
+        large, at = np.unique(table[~small], axis=0, return_inverse=True)
+        numbers[~small] = len(distinct) + at.reshape(-1)
+        distinct = np.concatenate([distinct, large])
+    width = 1 if len(distinct) <= 1 << 8 else 2 if len(distinct) <= 1 << 16 else 4
+    return [np.array([width, len(distinct)], np.int64).tobytes(), distinct.tobytes(), numbers.astype(f"u{width}").tobytes()]
+
+
+def _decode(raw: np.ndarray, at: int, n: int, n_columns: int, rows: np.ndarray) -> np.ndarray:
+    width, m = (int(x) for x in np.frombuffer(raw, np.int64, 2, at))
+    table = np.frombuffer(raw, np.int64, m * n_columns, at + 16).reshape(m, n_columns)
+    return table[np.frombuffer(raw, f"u{width}", n, at + 16 + 8 * m * n_columns)[rows]]
+
+
+def _write_grams(path: str, keys: np.ndarray, bits: int, counts: list[np.ndarray]) -> None:
+    """``keys`` sorted hashes of the shard: upper bits by a table of places, 32 and 16 bits in two arrays."""
+    radix = max(0, 64 - STORED - bits)
+    bucket = (keys >> np.uint64(STORED)) & np.uint64((1 << radix) - 1)
+    places = np.searchsorted(bucket, np.arange((1 << radix) + 1, dtype=np.uint64)).astype(np.uint32)
+    high, low = (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
+    _write(path, len(keys), [places.tobytes(), high.tobytes(), low.tobytes(), *_codes(counts)])
+
+
+def _find_grams(path: str, bits: int, keys: np.ndarray, n_columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``keys`` that are in the file, their counts)."""
+    raw, n = _mapped(path)
+    none = np.zeros(0, np.int64), np.zeros((0, n_columns), np.int64)
+    if not n or not len(keys):
+        return none
+    radix = max(0, 64 - STORED - bits)
+    at = 16 + 4 * ((1 << radix) + 1)
+    places = np.frombuffer(raw, np.uint32, (1 << radix) + 1, 16).astype(np.int64)
+    high, low = np.frombuffer(raw, np.uint32, n, at), np.frombuffer(raw, np.uint16, n, at + 4 * n)
+    bucket = ((keys >> np.uint64(STORED)) & np.uint64((1 << radix) - 1)).astype(np.int64)
+    want, check = (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
+    lo, end = places[bucket], places[bucket + 1]
+    hi = end.copy()
+    for _ in range(int(max(1, (hi - lo).max())).bit_length()):  # all binary searches a step at a time
+        mid, active = (lo + hi) >> 1, lo < hi
+        less = high[np.minimum(mid, n - 1)] < want
+        lo, hi = np.where(active & less, mid + 1, lo), np.where(active & ~less, mid, hi)
+    found = np.full(len(keys), -1, np.int64)
+    open_rows = np.arange(len(keys))
+    while len(open_rows):  # rows with equal 32 bits follow each other
+        p = lo[open_rows]
+        inside = p < end[open_rows]
+        open_rows, p = open_rows[inside], p[inside]
+        same = high[p] == want[open_rows]
+        open_rows, p = open_rows[same], p[same]
+        hit = low[p] == check[open_rows]
+        found[open_rows[hit]] = p[hit]
+        open_rows = open_rows[~hit]
+        lo[open_rows] += 1
+    where = np.flatnonzero(found >= 0)
+    return where, _decode(raw, at + 6 * n, n, n_columns, found[where])
+
+
+# ---- vocabulary ------------------------------------------------------------------------------------------------------
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of about ``TEXT_BYTES`` of text at a time: (rows, token hashes, offsets)."""
+    held, size = [], 0
+
+    def out():
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        text = table.column(column)
+        return table, *tokens(*W.buffers(text.chunk(0) if text.num_chunks else pa.array([], pa.string())))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(column).nbytes
+        if size >= TEXT_BYTES:
+            yield out()
+            size = 0
+    if held:
+        yield out()
+
+
+def _fold_words(bits: int):
+    def run(batches):
+        key, n = np.array([BEGIN]), np.zeros(1, np.int64)
 
+        def out():
+            shard = (key >> np.uint64(64 - bits)).astype(np.int64)
+            yield from _sent([(s, GRAMS, 1, _pack([key[a:b]], [n[a:b]]), None) for s, a, b in _edges(shard)])
+
+        for _, tok, _ in _texts(batches, 0):
+            u, c = np.unique(tok, return_counts=True)
+            both = np.concatenate([key, u])
+            order = np.argsort(both, kind="stable")
+            heads = _heads(both[order])
+            key, n = both[order][heads], _sums(np.concatenate([n, c])[order], heads)
+            if len(key) >= WORDS:
+                yield from out()
+                key, n = np.array([BEGIN]), np.zeros(1, np.int64)
+        yield from out()
 
-def _of_counts(x: np.ndarray) -> list[int]:
-    return [int((x == k).sum()) for k in (1, 2, 3, 4)]
+    return run
 
 
-def _reduce_pairs(folder: str, bits: int):
-    """Write pair shards; send on, by word shard, what each word is as a context and as a token."""
+def _reduce_words(folder: str):
+    """Write a vocabulary shard: sorted hashes, ranks by falling count, counts by rank."""
 
     def run(batches):
-        for shard, (before, tok), (n,) in _shards(batches, 2, 1):
-            at, key, (n,) = _summed(pair_hash(before, tok), n)
-            before, tok = before[at], tok[at]
-            low = key << np.uint64(bits)
-            _write(
-                f"{folder}/pair-{shard}",
-                [np.array([len(key)], np.int64).tobytes(), (low >> np.uint64(32)).astype(np.uint32).tobytes(), (low >> np.uint64(24)).astype(np.uint8).tobytes(), _put_small(n)],
-            )
-            # An end's continuations count as any word's; the context before a text has no token row.
-            word = np.concatenate([before, tok])
-            as_context = np.concatenate([n, np.zeros_like(n)])
-            one = [np.concatenate([(n == k).astype(np.int64), np.zeros_like(n)]) for k in (1, 2)]
-            more = np.concatenate([(n >= 3).astype(np.int64), np.zeros_like(n)])
-            as_token = np.concatenate([np.zeros_like(n), n])
-            follows = np.concatenate([np.zeros_like(n), np.ones_like(n)])
-            first, _, sums = _summed(word, as_context, *one, more, as_token, follows)
-            ids = word[first]
-            stats = _of_counts(n)
-            rows = [(s, b) for s, b in _by_shard((word_key(ids) >> np.uint64(64 - bits)).astype(np.int64), ids, [ids], sums)]
-            for i in range(0, len(rows), 256):
-                part = rows[i : i + 256]
-                base = _blob_batch(part)
-                m = base.num_rows
-                cols = [pa.array(([v] if i == 0 else [0]) + [0] * (m - 1), pa.int64()) for v in (*stats, len(key))]
-                yield pa.RecordBatch.from_arrays([*base.columns, *cols], ["shard", "blob", "n1", "n2", "n3", "n4", "types"])
+        for shard, table in _shards(batches):
+            key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for kind, blob in zip(table.column(1).to_pylist(), table.column(3)):
+                if kind != GRAMS:
+                    continue
+                (k,), (c,) = _unpack(blob.as_py(), 1, 1)
+                both = np.concatenate([key, k])
+                order = np.argsort(both, kind="stable")
+                heads = _heads(both[order])
+                key, n = both[order][heads], _sums(np.concatenate([n, c])[order], heads)
+            by_count = np.lexsort((key, -n))
+            rank = np.empty(len(key), np.uint32)
+            rank[by_count] = np.arange(len(key))
+            _write(f"{folder}/vocabulary-{shard}", len(key), [key.tobytes(), rank.tobytes()])
+            _write(f"{folder}/count-{shard}", len(key), [n[by_count].astype(np.int64).tobytes()])
+            yield _rows([(shard, TOTALS, 0, None, [0, 0, 0, 0, 0, int((n > 0).sum()), int(n.sum()), len(key)])])
 
     return run
 
 
-def _reduce_words(folder: str, bits: int):
+class Vocabulary:
+    """Word hashes to ids: 1 + rank * shards + shard, so that small ids are frequent; 0 is unknown."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
+        self.begin = int(self.ids(np.array([BEGIN]))[0])
+
+    def ids(self, tok: np.ndarray) -> np.ndarray:
+        keys, at = np.unique(tok, return_inverse=True)
+        out = np.zeros(len(keys), np.uint64)
+        for s, a, b in _edges((keys >> np.uint64(64 - self.bits)).astype(np.int64)):
+            raw, n = _mapped(f"{self.folder}/vocabulary-{s}")
+            if not n:
+                continue
+            have, rank = np.frombuffer(raw, np.uint64, n, 16), np.frombuffer(raw, np.uint32, n, 16 + 8 * n)
+            p = np.minimum(np.searchsorted(have, keys[a:b]), n - 1)
+            known = have[p] == keys[a:b]
+            out[a:b][known] = (rank[p[known]].astype(np.uint64) << np.uint64(self.bits)) + np.uint64(s + 1)
+        return out[at]
+
+
+# ---- counting --------------------------------------------------------------------------------------------------------
+
+
+def _fold_grams(folder: str, bits: int, order: int):
     def run(batches):
-        for shard, (ids,), counts in _shards(batches, 1, 6):
-            _, key, (context, one, two, more, count, follows) = _summed(word_key(ids), *counts)
-            _write(f"{folder}/word-{shard}", [np.array([len(key)], np.int64).tobytes(), key.tobytes(), *(_put_small(x) for x in (context, one, two, more, count, follows))])
-            row = [int(count.sum()), int((count > 0).sum()), *_of_counts(follows), int((follows >= 3).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in row], ["n_tokens", "n_vocab", "f1", "f2", "f3", "f4", "f3plus"])
+        words = Vocabulary(folder, bits)
+        for _, tok, starts in _texts(batches, 0):
+            ids, at = padded(words.ids(tok), starts, words.begin, order)
+            del tok
+            for i in range(0, len(at), FOLD):
+                here = at[i : i + FOLD]
+                columns = [ids[here - (order - 1 - k)] for k in range(order)]
+                h = gram_hash(columns)
+                by_hash = np.argsort(h)
+                heads = _heads(h[by_hash])
+                first = by_hash[heads]
+                n = np.diff(heads, append=len(by_hash))
+                yield from _sent(_gram_rows(GRAMS, order, [c[first] for c in columns], [n], bits))
+
+    return run
+
+
+def _reduce(folder: str, bits: int, level: int, top: bool):
+    """Sum a shard of a level, write it, and send on what its grams are to their suffixes and prefixes."""
+
+    def read(table: pa.Table, kind: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Distinct grams of one kind, sorted by hash, and their sums; run after run, so that only distinct grams are held."""
+        held_key, held_columns, held_counts = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * level, [np.zeros(0, np.int64)] * n_counts
+        parts, size = [], 0
+
+        def fold():
+            nonlocal held_key, held_columns, held_counts
+            columns = [np.concatenate([held_columns[k], *(p[0][k] for p in parts)]) for k in range(level)]
+            counts = [np.concatenate([held_counts[k], *(p[1][k] for p in parts)]) for k in range(n_counts)]
+            parts.clear()
+            key = gram_hash(columns)
+            order = np.argsort(key)
+            heads = _heads(key[order])
+            first = order[heads]
+            held_key, held_columns = key[first], [c[first] for c in columns]
+            held_counts = [_sums(c[order], heads) for c in counts]
+
+        for of, blob in zip(table.column(1).to_pylist(), table.column(3)):
+            if of == kind:
+                parts.append(_unpack(blob.as_py(), level, n_counts))
+                size += len(parts[-1][0][0])
+                if size >= FOLD:
+                    fold()
+                    size = 0
+        if parts:
+            fold()
+        return held_key, held_columns, held_counts
+
+    def run(batches):
+        for shard, table in _shards(batches):
+            for t in table.filter(pc.equal(table.column(1), TOTALS)).to_batches():
+                yield t
+            key, columns, (n,) = read(table, GRAMS if top else SUFFIXES, 1)
+            if top:
+                _write_grams(f"{folder}/gram{level}-{shard}", key, bits, [n])
+            else:
+                c_key, _, contexts = read(table, CONTEXTS, 4)
+                both = np.union1d(key, c_key)
+                out = [np.zeros(len(both), np.int64) for _ in range(5)]
+                out[0][np.searchsorted(both, key)] = n
+                at = np.searchsorted(both, c_key)
+                for k in range(4):
+                    out[1 + k][at] = contexts[k]
+                _write_grams(f"{folder}/gram{level}-{shard}", both, bits, out)
+                del both, out, at, c_key, contexts
+            rows = [(shard, TOTALS, level, None, [*_of_counts(n), len(n), int(n.sum()), 0])]
+            # Of grams that start at a text's start all have the same left context: they count as often as they occur.
+            follows = np.where(columns[1] == np.uint64(begin[0]), n, 1) if level > 2 else np.ones_like(n)
+            for kind, part, counts in ((SUFFIXES, columns[1:], [follows]), (CONTEXTS, columns[:-1], [n, n == 1, n == 2, n >= 3])):
+                h = gram_hash(part)
+                order = np.argsort(h)
+                heads = _heads(h[order])
+                first = order[heads]
+                part, sums = [c[first] for c in part], [_sums(np.asarray(x, np.int64)[order], heads) for x in counts]
+                del h, order, heads, first
+                rows += _gram_rows(kind, level - 1, part, sums, bits) if level > 2 else _word_rows(kind, part[0], sums, bits)
+            yield from _sent(rows)
+
+    begin: list[int] = []
+
+    def started(batches):
+        begin.append(Vocabulary(folder, bits).begin)
+        yield from run(batches)
+
+    return started
+
+
+def _word_rows(kind: int, ids: np.ndarray, counts: list[np.ndarray], bits: int) -> list[tuple]:
+    """Runs by vocabulary shard, sorted by rank."""
+    shard = ((ids - np.uint64(1)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    rank = (ids - np.uint64(1)) >> np.uint64(bits)
+    order = np.lexsort((rank, shard))
+    return [(s, kind, 1, _pack([rank[order[a:b]]], [x[order[a:b]] for x in counts]), None) for s, a, b in _edges(shard[order])]
+
+
+def _finish_words(folder: str):
+    """Write each word's counts by rank: occurrences, left contexts, and as a context: total, followers seen once, twice, more."""
+
+    def run(batches):
+        for shard, table in _shards(batches):
+            for t in table.filter(pc.equal(table.column(1), TOTALS)).to_batches():
+                yield t
+            raw, n = _mapped(f"{folder}/count-{shard}")
+            sums = [np.zeros(n, np.int64) for _ in range(5)]
+            for kind, blob in zip(table.column(1).to_pylist(), table.column(3)):
+                if kind in (SUFFIXES, CONTEXTS):
+                    (rank,), counts = _unpack(blob.as_py(), 1, 1 if kind == SUFFIXES else 4)
+                    for k, c in enumerate(counts):
+                        sums[k if kind == SUFFIXES else 1 + k][rank.astype(np.int64)] += c
+            _write(f"{folder}/word-{shard}", n, _codes([np.frombuffer(raw, np.int64, n, 16), *sums]))
+            yield _rows([(shard, TOTALS, 1, None, [*_of_counts(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum()), 0])])
 
     return run
 
@@ -246,117 +506,133 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """The mapped arrays of one model; opened by workers, shard by shard as they are needed."""
-
-    def __init__(self, folder: str, bits: int, totals: dict):
-        self.folder, self.bits, self.t, self.maps = folder, bits, totals, {}
-        self.d2 = discounts(*(totals[k] for k in ("n1", "n2", "n3", "n4")))
-        self.d1 = discounts(*(totals[k] for k in ("f1", "f2", "f3", "f4")))
-
-    def _map(self, name: str):
-        if name not in self.maps:
-            try:
-                raw = np.memmap(f"{self.folder}/{name}", np.uint8, "r")
-            except FileNotFoundError:  # no n-gram has this hash
-                self.maps[name] = None
-                return None
-            data = memoryview(raw)
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            if name[0] == "p":
-                at = 8 + 5 * n
-                self.maps[name] = np.frombuffer(data, np.uint32, n, 8), np.frombuffer(data, np.uint8, n, 8 + 4 * n), _get_small(data[at:], n)
-            else:
-                at, cols = 8 + 8 * n, []
-                for _ in range(6):
-                    cols.append(_get_small(data[at:], n))
-                    at += cols[-1][3]
-                self.maps[name] = np.frombuffer(data, np.uint64, n, 8), cols
-        return self.maps[name]
-
-    def _cuts(self, key: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        shard = key >> np.uint64(64 - self.bits)
-        edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(key)]])
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield int(shard[a]), int(a), int(b)
-
-    def pairs(self, key: np.ndarray) -> np.ndarray:
-        """Counts of sorted pair hashes."""
-        out = np.zeros(len(key), np.int64)
-        for shard, a, b in self._cuts(key) if len(key) else ():
-            if (m := self._map(f"pair-{shard}")) is None:
-                continue
-            low = key[a:b] << np.uint64(self.bits)
-            q, check = (low >> np.uint64(32)).astype(np.uint32), (low >> np.uint64(24)).astype(np.uint8)
-            at = np.searchsorted(m[0], q)
-            for _ in range(3):  # equal 32 bits: the 8 that follow decide
-                ok = at < len(m[0])
-                here = np.where(ok, at, 0)
-                same = ok & (m[0][here] == q)
-                hit = same & (m[1][here] == check) & (out[a:b] == 0)
-                where = np.flatnonzero(hit)
-                out[a + where] = _expand(m[2], at[where])
-                if not (same & ~hit).any():
-                    break
-                at = at + 1
+    """A model in a folder. Workers map its files shard by shard as sorted look-ups reach them."""
+
+    def __init__(self, folder: str):
+        with open(f"{folder}/manifest.json") as f:
+            m = json.load(f)
+        self.folder, self.bits, self.order = folder, m["bits"], m["order"]
+        self.totals = {int(k): v for k, v in m["totals"].items()}
+        self.n_tokens, self.n_vocab = self.totals[0]["tokens"], self.totals[0]["types"]
+        self.d = {k: discounts(*(self.totals[k][x] for x in ("n1", "n2", "n3", "n4"))) for k in range(1, self.order + 1)}
+        self.words = Vocabulary(folder, self.bits)
+
+    def word_counts(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of 6 counts; zeros for unknown words."""
+        out = np.zeros((len(ids), 6), np.int64)
+        place = ids - np.uint64(1)
+        shard = np.where(ids == 0, -1, (place & np.uint64((1 << self.bits) - 1)).astype(np.int64))
+        order = np.argsort(shard, kind="stable")
+        for s, a, b in _edges(shard[order]):
+            if s >= 0:
+                rows = order[a:b]
+                raw, n = _mapped(f"{self.folder}/word-{s}")
+                out[rows] = _decode(raw, 16, n, 6, (place[rows] >> np.uint64(self.bits)).astype(np.int64))
         return out
 
-    def words(self, key: np.ndarray) -> np.ndarray:
-        """Six columns for sorted word keys: as context: count, pairs seen once, twice, more; as token: count, contexts."""
-        out = np.zeros((6, len(key)), np.int64)
-        for shard, a, b in self._cuts(key) if len(key) else ():
-            if (m := self._map(f"word-{shard}")) is None or not len(m[0]):
-                continue
-            at = np.searchsorted(m[0], key[a:b])
-            at[at == len(m[0])] = 0
-            where = np.flatnonzero(m[0][at] == key[a:b])
-            for k in range(6):
-                out[k, a + where] = _expand(m[1][k], at[where])
+    def gram_counts(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct hashes: the count at the highest level; else left contexts, and as a context: total, followers seen once, twice, more."""
+        width = 1 if level == self.order else 5
+        out = np.zeros((len(keys), width), np.int64)
+        for s, a, b in _edges((keys >> np.uint64(64 - self.bits)).astype(np.int64)):
+            where, counts = _find_grams(f"{self.folder}/gram{level}-{s}", self.bits, keys[a:b], width)
+            out[a + where] = counts
         return out
 
-    def score(self, tok: np.ndarray, before: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: tokens known, base score, log10 probability."""
-        t = self.t
-        keys, at = np.unique(word_key(np.concatenate([tok, before])), return_inverse=True)
-        stats = self.words(keys)
-        count = stats[4][at[: len(tok)]]
-        follows = stats[5].astype(np.float64)
-        uniform = 1.0 / (t["n_vocab"] + 1)
-        if t["types"]:
-            left = (self.d1[1] * t["f1"] + self.d1[2] * t["f2"] + self.d1[3] * t["f3plus"]) / t["types"]
-            low = np.maximum(follows - self.d1[np.minimum(stats[5], 3)], 0) / t["types"] + left * uniform
+    def _probabilities(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences, probability) of the tokens at the places ``at`` of padded ids."""
+        u, place = np.unique(ids, return_inverse=True)
+        counts = self.word_counts(u)
+        t, d = self.totals[1], self.d[1]
+        uniform = 1.0 / (self.n_vocab + 1)
+        if t["tokens"]:
+            left = (d[1] * t["n1"] + d[2] * t["n2"] + d[3] * t["n3plus"]) / t["tokens"]
+            low = np.maximum(counts[:, 1] - d[np.minimum(counts[:, 1], 3)], 0) / t["tokens"] + left * uniform
         else:
-            low = np.full(len(keys), uniform)
-        total = np.maximum(stats[0], 1)
-        back = np.where(stats[0] > 0, (self.d2[1] * stats[1] + self.d2[2] * stats[2] + self.d2[3] * stats[3]) / total, 1.0)
-        pair, pair_at = np.unique(pair_hash(before, tok), return_inverse=True)
-        n = self.pairs(pair)[pair_at]
-        context = at[len(tok) :]
-        p = np.maximum(n - self.d2[np.minimum(n, 3)], 0) / total[context] + back[context] * low[at[: len(tok)]]
+            low = np.full(len(u), uniform)
+        p, context = low[place[at]], counts[:, 2:][place[at - 1]]
+        occurrences = counts[:, 0][place[at]]
+        for level in range(2, self.order + 1):
+            h = gram_hash([ids[max(0, level - 1 - k) : len(ids) - k] for k in range(level - 1, -1, -1)])  # the gram that ends at place i + level - 1
+            rows = h[at - (level - 1)]
+            top = level == self.order
+            keys, where = np.unique(rows if top else np.concatenate([rows, h[at - level]]), return_inverse=True)
+            found = self.gram_counts(level, keys)
+            n = found[where[: len(at)], 0]
+            d, total = self.d[level], np.maximum(context[:, 0], 1)
+            back = (d[1] * context[:, 1] + d[2] * context[:, 2] + d[3] * context[:, 3]) / total
+            p = np.where(context[:, 0] > 0, np.maximum(n - d[np.minimum(n, 3)], 0) / total + back * p, p)
+            if not top:
+                context = found[where[len(at) :], 1:]
+        return occurrences, p
+
+    def score(self, tok: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: tokens known, base score, log10 probability."""
+        ids, at = padded(self.words.ids(tok), starts, self.words.begin, self.order)
+        count, p = np.empty(len(at), np.int64), np.empty(len(at))
+        for i in range(0, len(at), SCORE):
+            here = at[i : i + SCORE]
+            lo = max(0, int(here[0]) - self.order)
+            # A place before the first one keeps the contexts of the first text in reach.
+            part = np.concatenate([[np.uint64(self.words.begin)], ids[lo : int(here[-1]) + 1]])
+            count[i : i + SCORE], p[i : i + SCORE] = self._probabilities(part, here - lo + 1)
         add = lambda x: np.add.reduceat(x, starts[:-1]) if len(starts) > 1 else x[:0]  # noqa: E731  each text has its end
-        return add((count > 0).astype(np.int64)), add(np.log10((count + 1) / (t["n_tokens"] + t["n_vocab"] + 1))), add(np.log10(p))
+        return add((count > 0).astype(np.int64)), add(np.log10((count + 1) / (self.n_tokens + self.n_vocab + 1))), add(np.log10(p))
 
 
-def _scorer(folder: str, bits: int, totals: dict):
+def _scorer(folder: str):
     def run(batches):
-        model = Model(folder, bits, totals)
-        for batch in batches:
-            known, base, score = [], [], []
-            n_tokens = []
-            texts = batch.column(2)
-            for i in range(0, batch.num_rows, 200):
-                tok, before, starts = tokens(*W.buffers(texts.slice(i, 200)))
-                k, b, s = model.score(tok, before, starts)
-                known.append(k), base.append(b), score.append(s), n_tokens.append(np.diff(starts))
-            cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), cat(n_tokens, np.int64), cat(known, np.int64), cat(base, np.float64), cat(score, np.float64)],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+        model = Model(folder)
+        for table, tok, starts in _texts(batches, 2):
+            known, base, score = model.score(tok, starts)
+            columns = [pa.array(np.diff(starts).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            part = pa.Table.from_arrays([table.column(0), table.column(1), *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            yield from part.combine_chunks().to_batches()
 
     return run
 
 
-def language_model_scores(docs: DataFrame) -> DataFrame:
+def train(texts: DataFrame, *, order: int = ORDER) -> str:
+    """Count ``texts(text)`` into a model of ``order``; returns its folder, under ``spark.checkpoint.dir``.
+
+    Null, empty and all-space texts are the end token alone. An empty table gives a model in which every token is unknown.
+    """
+    if order < 2:
+        raise ValueError("order is 2 or more")
+    spark = texts.sparkSession
+    cluster.tune(spark)
+    at = urlparse(cluster.new_path(spark, "ngrams"))
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"workers memory-map the model: spark.checkpoint.dir must be a folder mounted on every host, not {at.scheme}:")
+    folder = at.path
+    rows = texts.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(_MAX_BITS, max(2, int(np.ceil(np.log2(max(1, size / SHARD_BYTES))))))
+    # One row a shard, so that each writes its file.
+    every = spark.range(1 << bits).select(
+        F.col("id").alias("shard"), F.lit(NOTHING).alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("array<long>").alias("stat")
+    )
+
+    def by_shard(df: DataFrame, then: Callable) -> DataFrame:
+        return df.unionByName(every).repartition("shard").sortWithinPartitions("shard").mapInArrow(then, _ROW)
+
+    def totals(df: DataFrame) -> dict[int, dict[str, int]]:
+        sums = [F.sum(F.col("stat")[k]).alias(name) for k, name in enumerate(_STATS)]
+        return {r.level: {k: r[k] or 0 for k in _STATS} for r in df.where(f"kind = {TOTALS}").groupBy("level").agg(*sums).collect()}
+
+    found = totals(by_shard(rows.mapInArrow(_fold_words(bits), _ROW), _reduce_words(folder)))
+    grams = rows.mapInArrow(_fold_grams(folder, bits, order), _ROW)
+    for level in range(order, 1, -1):
+        grams = by_shard(grams, _reduce(folder, bits, level, level == order))
+    found |= totals(by_shard(grams, _finish_words(folder)))
+    own = f"{folder}/manifest.json.{uuid.uuid4().hex}"
+    with open(own, "w") as f:
+        json.dump({"bits": bits, "order": order, "totals": found}, f)
+    os.replace(own, f"{folder}/manifest.json")
+    return folder
+
+
+def language_model_scores(docs: DataFrame, *, order: int = ORDER) -> DataFrame:
     """Train on ``docs(doc_id, text, held_out)`` where not ``held_out``, score every row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram)
@@ -367,27 +643,11 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     are ignored. Without training rows every token has probability 1 / (V + 1), V = 0. An
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    cluster.tune(spark)
-    at = urlparse(cluster.new_path(spark, "ngrams"))
-    if at.scheme not in ("", "file"):
-        raise ValueError(f"workers memory-map the model: spark.checkpoint.dir must be a folder mounted on every host, not {at.scheme}:")
-    folder = at.path
     rows = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    train = rows.where(~F.col("held_out")).select("text")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, size / SHARD_BYTES)))))
-    sorted_by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard")
-    folded = train.mapInArrow(_fold_pairs(bits), "shard long, blob binary")
-    sent = cluster.saved(
-        sorted_by_shard(folded).mapInArrow(_reduce_pairs(folder, bits), "shard long, blob binary, n1 long, n2 long, n3 long, n4 long, types long"), "words"
-    )
-    words = sorted_by_shard(sent.select("shard", "blob")).mapInArrow(_reduce_words(folder, bits), "n_tokens long, n_vocab long, f1 long, f2 long, f3 long, f4 long, f3plus long")
-    total = lambda df, names: {k: v or 0 for k, v in df.agg(*(F.sum(n).alias(n) for n in names)).first().asDict().items()}
-    totals = total(sent, ["n1", "n2", "n3", "n4", "types"]) | total(words, ["n_tokens", "n_vocab", "f1", "f2", "f3", "f4", "f3plus"])
-    cluster.forget(sent)
-    return rows.mapInArrow(_scorer(folder, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n_tokens"]).cast("long").alias("train_tokens"), "base_score", "score"
+    folder = train(rows.where(~F.col("held_out")).select("text"), order=order)
+    n_tokens = Model(folder).n_tokens
+    return rows.mapInArrow(_scorer(folder), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

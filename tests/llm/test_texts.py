@@ -304,37 +304,94 @@ def test_pack(spark, corpus):
 # ---- language model ----------------------------------------------------------------------------------------------
 
 
-def test_language_model(spark, corpus, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(kneser_ney, "FOLD", 300)
+def brute_kneser_ney(train, order):
+    """(vocabulary counts, probability of a token after its history) by the textbook formulas; texts are lists of tokens."""
+    c = collections.Counter(w for t in train for w in t)
+    grams = {order: collections.Counter()}
+    for t in train:
+        whole = [0] * (order - 1) + t
+        for i in range(order - 1, len(whole)):
+            grams[order][tuple(whole[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):  # how many different tokens stand before; a text's start counts as often as it occurs
+        grams[k] = collections.Counter()
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if k > 1 and g[1] == 0 else 1
+    d, context, kinds = {}, {}, {}
+    for k, counts in grams.items():
+        d[k] = kneser_ney.discounts(*(collections.Counter(counts.values())[x] for x in (1, 2, 3, 4)))
+        context[k], kinds[k] = collections.Counter(), collections.defaultdict(collections.Counter)
+        for g, n in counts.items():
+            context[k][g[:-1]] += n
+            kinds[k][g[:-1]][min(n, 3)] += 1
+
+    def p(history, w):
+        out = 1 / (len(c) + 1)
+        for k in range(1, order + 1):
+            h = tuple(history[len(history) - k + 1 :])
+            if context[k][h]:
+                n = grams[k][(*h, w)]
+                out = (max(n - d[k][min(n, 3)], 0) + sum(d[k][x] * kinds[k][h][x] for x in (1, 2, 3)) * out) / context[k][h]
+        return out
+
+    return c, p
+
+
+@pytest.mark.parametrize(("order", "shard", "fold"), [(2, 2000, 300), (3, 2000, 300), (3, 1 << 30, 1 << 20), (4, 300, 100)])
+def test_language_model(spark, corpus, monkeypatch, order, shard, fold):
+    for name, value in (("SHARD_BYTES", shard), ("FOLD", fold), ("SCORE", fold), ("WORDS", fold), ("TEXT_BYTES", 4 * fold)):
+        monkeypatch.setattr(kneser_ney, name, value)
     docs = frame(spark, corpus).selectExpr("doc_id", "text", "doc_id % 4 = 1 as held_out", "rank", "n")
-    got = {r.doc_id: r for r in kneser_ney.language_model_scores(docs).collect()}
+    got = {r.doc_id: r for r in kneser_ney.language_model_scores(docs, order=order).collect()}
     toks = {i: (t or "").encode().lower().split() + [None] for i, t, _ in corpus}
-    train = [t for i, t in toks.items() if i % 4 != 1]
-    c = collections.Counter(w for t in train for w in t)
-    pair = collections.Counter(p for t in train for p in zip([0, *t[:-1]], t))
-    context, follows = collections.Counter(), collections.Counter(w for _, w in pair)
-    kinds = collections.defaultdict(collections.Counter)
-    for (v, _), n in pair.items():
-        context[v] += n
-        kinds[v][min(n, 3)] += 1
-    of = lambda x: kneser_ney.discounts(*(collections.Counter(x.values())[k] for k in (1, 2, 3, 4)))
-    d2, d1 = of(pair), of(follows)
-    n, v, types = sum(c.values()), len(c), len(pair)
-    left = sum(d1[min(k, 3)] for k in follows.values()) / types
-
-    def p(a, b):
-        low = max(follows[b] - d1[min(follows[b], 3)], 0) / types + left / (v + 1)
-        if not context[a]:
-            return low
-        return max(pair[a, b] - d2[min(pair[a, b], 3)], 0) / context[a] + sum(d2[k] * kinds[a][k] for k in (1, 2, 3)) / context[a] * low
-
-    assert abs(sum(p(b"the", w) for w in c) + p(b"the", b"never seen") - 1) < 1e-9
+    c, p = brute_kneser_ney([t for i, t in toks.items() if i % 4 != 1], order)
+    n, v, start = sum(c.values()), len(c), [0] * (order - 1)
+    for history in (start, [*start, b"the"], [b"w1", b"w2", b"w3"]):
+        assert abs(sum(p(history, w) for w in c) + p(history, b"never seen") - 1) < 1e-9
     for i, t in toks.items():
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(c[w] > 0 for w in t), n, i % 4 == 1)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([0, *t[:-1]], t)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(start + t[:k], w)) for k, w in enumerate(t)), rel_tol=1e-9)
+
+
+def test_a_missing_or_damaged_model_file_is_an_error(spark, corpus):
+    import os
+    import shutil
+
+    folder = kneser_ney.train(frame(spark, corpus).select("text"))
+    tok, starts = kneser_ney.tokens(*W.buffers(__import__("pyarrow").array(["w1 w2 w3 the", "never seen"])))
+    kneser_ney.Model(folder).score(tok, starts)
+    shards = 1 << kneser_ney.Model(folder).bits
+    assert {f"{kind}-{s}" for kind in ("vocabulary", "word", "gram2", "gram3") for s in range(shards)} <= set(os.listdir(folder))
+    for kind in ("vocabulary", "word", "gram2", "gram3"):
+        kept = f"{folder}-kept"
+        shutil.copytree(folder, kept)
+        for s in range(shards):
+            with open(f"{folder}/{kind}-{s}", "r+b") as f:
+                f.truncate(os.path.getsize(f.name) - 1)
+        with pytest.raises(OSError, match="damaged"):
+            kneser_ney.Model(folder).score(tok, starts)
+        for s in range(shards):
+            os.remove(f"{folder}/{kind}-{s}")
+        with pytest.raises(FileNotFoundError):
+            kneser_ney.Model(folder).score(tok, starts)
+        shutil.rmtree(folder)
+        os.rename(kept, folder)
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.Model(folder + "-none")
+
+
+def test_grams_with_equal_upper_bits_are_told_apart(tmp_path):
+    rng = np.random.default_rng(3)
+    bits = 2
+    keys = (np.uint64(1) << np.uint64(62)) | rng.integers(0, 40, 900).astype(np.uint64) << np.uint64(16) | rng.integers(0, 1 << 16, 900).astype(np.uint64)
+    keys = np.unique(keys | rng.integers(0, 4, 900).astype(np.uint64) << np.uint64(kneser_ney.STORED))
+    n = np.arange(len(keys)) + 1
+    kneser_ney._write_grams(f"{tmp_path}/g", keys, bits, [n, n * 3000, n % 2, n % 3, n % 5])
+    asked = np.unique(np.concatenate([keys, keys ^ np.uint64(1), keys ^ np.uint64(1 << 20), keys ^ np.uint64(1 << 50)]))
+    where, counts = kneser_ney._find_grams(f"{tmp_path}/g", bits, asked, 5)
+    assert asked[where].tolist() == keys.tolist()
+    assert (counts == np.stack([n, n * 3000, n % 2, n % 3, n % 5], axis=1)).all()
 
 
 def test_language_model_without_rows(spark):
