@@ -44,7 +44,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the end token and of the token that stands before a text; a word meets one of them with a chance of 2**-63.
 END, BEGIN = np.uint64(0x5BF0_3635_DE5C_A1B1), np.uint64(0xC2B7_4F1D_9A60_77E3)
 #: Tokens whose n-grams a task folds at a time, distinct words it holds, tokens it scores at a time, bytes of text a shard stands for.
-FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 8_000_000
+FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 16_000_000
 #: Bytes of text whose hashes are held at a time; rows end where they end.
 TEXT_BYTES = 4 << 20
 #: Bits of a hash a gram file stores with each gram; the bits above are given by the shard and the place.
@@ -126,7 +126,7 @@ def _pack(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
         x = np.ascontiguousarray(np.diff(c, prepend=np.uint64(0)) if k == 0 else c)
         width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
         parts += [bytes([width]), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, *(_put_small(x) for x in counts)]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, *(_put_small(x) for x in counts)]))
 
 
 def _unpack(blob: bytes, n_columns: int, n_counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -218,7 +218,11 @@ def _mapped(path: str) -> tuple[np.memmap, int]:
 
 
 def _codes(columns: list[np.ndarray]) -> list[bytes]:
-    """Rows of several counts as numbers of the distinct rows: width of a number and how many rows, the rows, the numbers."""
+    """Rows of several counts as numbers of the distinct rows, the commonest first.
+
+    How many distinct rows and how many rows beyond the 255 commonest; the distinct rows;
+    places and numbers of those beyond; a byte for every row.
+    """
     table = np.stack(columns, axis=1)
     room = 60 // len(columns)
     small = (table < 1 << room).all(axis=1)
@@ -232,14 +236,26 @@ def _codes(columns: list[np.ndarray]) -> list[bytes]:
         large, at = np.unique(table[~small], axis=0, return_inverse=True)
         numbers[~small] = len(distinct) + at.reshape(-1)
         distinct = np.concatenate([distinct, large])
-    width = 1 if len(distinct) <= 1 << 8 else 2 if len(distinct) <= 1 << 16 else 4
-    return [np.array([width, len(distinct)], np.int64).tobytes(), distinct.tobytes(), numbers.astype(f"u{width}").tobytes()]
+    by_count = np.argsort(-np.bincount(numbers, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(distinct), np.int64)
+    rank[by_count] = np.arange(len(distinct))
+    numbers = rank[numbers]
+    over = np.flatnonzero(numbers >= 255)
+    head = np.array([len(distinct), len(over)], np.int64).tobytes()
+    return [head, distinct[by_count].tobytes(), over.tobytes(), numbers[over].tobytes(), np.minimum(numbers, 255).astype(np.uint8).tobytes()]
 
 
 def _decode(raw: np.ndarray, at: int, n: int, n_columns: int, rows: np.ndarray) -> np.ndarray:
-    width, m = (int(x) for x in np.frombuffer(raw, np.int64, 2, at))
-    table = np.frombuffer(raw, np.int64, m * n_columns, at + 16).reshape(m, n_columns)
-    return table[np.frombuffer(raw, f"u{width}", n, at + 16 + 8 * m * n_columns)[rows]]
+    m, k = (int(x) for x in np.frombuffer(raw, np.int64, 2, at))
+    at += 16
+    table = np.frombuffer(raw, np.int64, m * n_columns, at).reshape(m, n_columns)
+    at += 8 * m * n_columns
+    numbers = np.frombuffer(raw, np.uint8, n, at + 16 * k)[rows].astype(np.int64)
+    over = np.flatnonzero(numbers == 255)
+    if len(over):
+        places = np.frombuffer(raw, np.int64, k, at)
+        numbers[over] = np.frombuffer(raw, np.int64, k, at + 8 * k)[np.searchsorted(places, rows[over])]
+    return table[numbers]
 
 
 def _write_grams(path: str, keys: np.ndarray, bits: int, counts: list[np.ndarray]) -> None:
@@ -332,7 +348,7 @@ def _fold_words(bits: int):
 
 
 def _reduce_words(folder: str):
-    """Write a vocabulary shard: sorted hashes, ranks by falling count, counts by rank."""
+    """Write a vocabulary shard: sorted hashes, ranks by falling count; and its counts by rank, as the first rank of each."""
 
     def run(batches):
         for shard, table in _shards(batches):
@@ -349,7 +365,8 @@ def _reduce_words(folder: str):
             rank = np.empty(len(key), np.uint32)
             rank[by_count] = np.arange(len(key))
             _write(f"{folder}/vocabulary-{shard}", len(key), [key.tobytes(), rank.tobytes()])
-            _write(f"{folder}/count-{shard}", len(key), [n[by_count].astype(np.int64).tobytes()])
+            count, first = np.unique(-n[by_count], return_index=True)
+            _write(f"{folder}/count-{shard}", len(key), [np.array([len(count)], np.int64).tobytes(), (-count).tobytes(), first.tobytes()])
             yield _rows([(shard, TOTALS, 0, None, [0, 0, 0, 0, 0, int((n > 0).sum()), int(n.sum()), len(key)])])
 
     return run
@@ -484,13 +501,15 @@ def _finish_words(folder: str):
             for t in table.filter(pc.equal(table.column(1), TOTALS)).to_batches():
                 yield t
             raw, n = _mapped(f"{folder}/count-{shard}")
+            m = int(np.frombuffer(raw, np.int64, 1, 16)[0])
+            count, first = np.frombuffer(raw, np.int64, 2 * m, 24).reshape(2, m)
             sums = [np.zeros(n, np.int64) for _ in range(5)]
             for kind, blob in zip(table.column(1).to_pylist(), table.column(3)):
                 if kind in (SUFFIXES, CONTEXTS):
                     (rank,), counts = _unpack(blob.as_py(), 1, 1 if kind == SUFFIXES else 4)
                     for k, c in enumerate(counts):
                         sums[k if kind == SUFFIXES else 1 + k][rank.astype(np.int64)] += c
-            _write(f"{folder}/word-{shard}", n, _codes([np.frombuffer(raw, np.int64, n, 16), *sums]))
+            _write(f"{folder}/word-{shard}", n, _codes([np.repeat(count, np.diff(first, append=n)), *sums]))
             yield _rows([(shard, TOTALS, 1, None, [*_of_counts(sums[0]), int((sums[0] > 0).sum()), int(sums[0].sum()), 0])])
 
     return run
