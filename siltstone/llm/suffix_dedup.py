@@ -1,38 +1,47 @@
 """Repeated substrings by merging shard Burrows-Wheeler transforms.
 
 Every byte covered by a string of ``length`` bytes that also starts earlier is removed.
-Three steps make that a distributed job:
-
-1. Anchors. Of the ``GRAM``-byte grams in each window of ``length`` bytes the one of least
-   hash is the window's anchor; equal windows have equal anchors at equal places. An
-   anchor's context holds all windows it can stand for. Anchors are folded by task and sent
-   by hash as sorted runs; one that occurs once ends here, and of equal contexts all but the
-   first are repeats as a whole.
-2. Merge. Contexts that share an anchor but differ are cut out of their texts and meet in
-   one group. Groups are gathered to batches; the contexts of a batch are split over shards,
-   each shard gets its Burrows-Wheeler transform, and the transforms are merged by iterative
-   interleave refinement: round h stably deals the interleave by the symbols before the
-   suffixes, after which suffixes are in order of their first h bytes and share a block
-   exactly if these are equal. After ``length`` rounds the blocks are the repeated
-   intervals: no suffix is sorted again. All of a block but its earliest are repeats.
-3. Removal. The covered ranges of a text are joined and cut out.
-
-Scale: what is shuffled is a small, fixed share of the bytes (about one anchor in 35 bytes)
-and the texts themselves, compressed, twice. Repeats inside a task are folded before the
-shuffle. Anchors that are common in a bounded sample, and groups of more contexts than
-``WIDE``, are compared window by window with an aggregation instead, so that a passage in a
-third of all texts never lands in one task. All ways compare whole windows, so which one an
-anchor takes does not change the result.
+
+1. Anchors. Texts are written once, as chunk files in the shared folder. Of the
+   ``GRAM``-byte grams in each window of ``length`` bytes the one of least hash is the
+   window's anchor; equal windows have equal anchors at equal places, and each anchor stands
+   for a few windows in a row. A chunk's distinct anchors go by hash to shards, which answer
+   with those that occur more than once.
+2. Contexts. The bytes of the windows of such an anchor are its context. Equal contexts of a
+   chunk go as one string with several places.
+3. Merge. The contexts of a shard's anchors are gathered to batches of whole groups; equal
+   ones, by their bytes, are one weighted string. The strings of a batch are dealt over
+   shards, each shard gets its Burrows-Wheeler transform, and the transforms are merged by
+   iterative interleave refinement: round h stably deals the interleave by the symbols
+   before the suffixes, after which suffixes are in order of their first h bytes and share a
+   block exactly if these are equal. After ``length`` rounds the blocks of a weight over one
+   are the repeated intervals: no suffix is sorted again. All of a block but its earliest
+   place are repeats.
+4. Removal. The covered ranges of a text are joined and cut out of its chunk.
+
+Hashes only decide what meets; what is equal is decided by bytes.
+
+Scale: what is shuffled are distinct anchors (one in 35 bytes), the contexts of repeated
+ones, and ranges; texts are not shuffled. An anchor with more than ``WIDE`` places, as in a
+passage that a third of all texts share, is split into its windows: a chunk sends the hash
+of each distinct window, and of those that occur in several chunks one copy, which goes
+through the merge as a string of its own. So no key ever has more than one row a chunk, and
+no group more than ``WIDE`` strings.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +50,13 @@ from siltstone.llm import words as W
 from siltstone.llm.minhash import group_bounds, grouped
 
 LENGTH, GRAM = 100, 32
-#: Anchors a task folds at a time, bytes of text a shard of anchors stands for, contexts of a group, bytes of a batch, transforms of a batch.
-FOLD, SHARD_BYTES, WIDE, BATCH_BYTES, TRANSFORMS = 1 << 19, 12_000_000, 2048, 1 << 20, 4
-#: Ranges and requests a task holds before it sends them on.
-HELD = 1 << 19
-#: Sample for common anchors: texts, and how many of them an anchor must be in.
-SAMPLE_TEXTS, COMMON = 20_000, 40
+#: Bytes and rows of a chunk, bytes of text a shard stands for, places of an anchor that is not split.
+CHUNK, CHUNK_ROWS, SHARD_BYTES, WIDE = 8 << 20, 1 << 17, 12_000_000, 2048
+#: Bytes of the strings of a batch, transforms of a batch.
+BATCH_BYTES, TRANSFORMS = 1 << 20, 4
 _POS = np.uint64((1 << 24) - 1)
-_CHUNK = 1 << 22
+_STEP = 1 << 20
 _TABLE = np.random.default_rng(971).integers(1, 1 << 63, 256, dtype=np.uint64)
-_PH = np.uint64((1 << 40) - 1)
 
 
 def _prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,61 +66,46 @@ def _prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, inverse
 
 
-def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, gram hash, context hash, bytes of the context from the place on) of a text's anchors."""
-    n = len(b)
-    if n < length:
-        none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none, none.astype(np.int64)
-    if n > _CHUNK:  # in overlapping parts; each keeps the anchors of the windows that start in it
-        parts = []
-        for c in range(0, n - length + 1, _CHUNK - length):
-            lo = max(0, c - length)
-            at, h, _, _ = anchors(b[lo : min(n, c + _CHUNK - 1)], length)
-            parts.append((at + lo, h))
-        at = np.concatenate([p[0] for p in parts])
-        h = np.concatenate([p[1] for p in parts])
-        at, first = np.unique(at, return_index=True)
-        h = h[first]
-        ctx = np.empty(len(at), np.uint64)
-        left, right = np.minimum(at, length - GRAM), np.minimum(n - at, length)
-        step = _CHUNK - 2 * length
-        for c in range(0, n, step):
-            rows = np.flatnonzero((at >= c) & (at < c + step))
-            lo = max(0, c - length)
-            s, inverse = _prefix_hashes(b[lo : c + step + length])
-            a = at[rows] - lo
-            ctx[rows] = (s[a + right[rows]] - s[a - left[rows]]) * inverse[a - left[rows]]
-    else:
-        s, inverse = _prefix_hashes(b)
-        g = n - GRAM + 1
+def anchors(body: np.ndarray, offsets: np.ndarray, length: int, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, windows) of the anchors of texts laid end to end, in order; windows lie within texts.
+
+    A hash cut to fewer ``hash_bits`` only lets more anchors meet.
+    """
+    found = []
+    for c in range(0, max(0, len(body) - length + 1), _STEP):
+        part = body[c : c + _STEP + length - 1]
+        s, inverse = _prefix_hashes(part)
+        g = len(part) - GRAM + 1
         grams = W.mix((s[GRAM:] - s[:-GRAM]) * inverse[:g])
-        key = (grams & ~_POS) | np.arange(g, dtype=np.uint64)
+        if hash_bits < 64:
+            grams >>= np.uint64(63)
+            grams >>= np.uint64(1)
+        m = (grams & ~_POS) | np.arange(g, dtype=np.uint64)
         width, span = length - GRAM + 1, 1
-        m = key
         while span * 2 <= width:
             m = np.minimum(m[:-span], m[span:])
             span *= 2
         if span < width:
             m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
         place = (m & _POS).astype(np.int64)
-        at = place[np.concatenate([[True], place[1:] != place[:-1]])]
-        h = grams[at]
-        left, right = np.minimum(at, length - GRAM), np.minimum(n - at, length)
-        ctx = (s[at + right] - s[at - left]) * inverse[at - left]
-    ctx = W.mix(ctx ^ W.mix((left << 16 | right).astype(np.uint64))) & _PH
-    return at, h, ctx, right
-
-
-def window_hashes(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of a short byte string."""
-    s, inverse = _prefix_hashes(b)
-    h = (s[length:] - s[:-length]) * inverse[: len(b) - length + 1]
-    other = np.zeros(len(b) + 1, np.uint64)
-    power, inv = W._power_tables(len(b) + 1)
-    np.cumsum(_TABLE[b ^ np.uint8(0x5A)] * power[: len(b)], out=other[1:])
-    k = (other[length:] - other[:-length]) * inv[: len(b) - length + 1]
-    return W.mix(h), W.mix(k)
+        change = np.zeros(len(place) + 1, np.int32)
+        k = len(place)
+        lo, hi = np.clip(offsets[:-1] - c, 0, k), np.clip(offsets[1:] - length + 1 - c, 0, k)
+        some = lo < hi
+        np.add.at(change, lo[some], 1)
+        np.add.at(change, hi[some], -1)
+        inside = np.cumsum(change[:-1]) > 0
+        head = inside.copy()
+        head[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
+        first = np.flatnonzero(head)
+        stops = np.flatnonzero(head | ~inside)
+        after = np.searchsorted(stops, first, side="right")
+        end = np.concatenate([stops, [k]])[after]
+        found.append((grams[place[first]], first + c, end - first))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def join_ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,205 +119,6 @@ def join_ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[head], end[last]
 
 
-# ---- rows: (kind, shard, doc, th, data) ------------------------------------------------------------------------------
-
-SPANS, ASKED, RUNS = 0, 1, 2
-_ROW = "kind int, shard long, doc long, th long, data binary"
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 5
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["kind", "shard", "doc", "th", "data"])
-
-
-def _by_doc(doc: np.ndarray, th: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(doc, th, rows x columns)."""
-    if not len(doc):
-        return
-    order = np.lexsort((th, doc))
-    d, t = doc[order], th[order]
-    table = np.stack([c[order] for c in columns], axis=1)
-    edges = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1, [len(d)]])
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield int(d[a]), int(t[a]), table[a:b]
-
-
-def _span_rows(doc, th, start, end) -> list[tuple]:
-    out = []
-    for d, t, table in _by_doc(doc, th, [start.astype(np.int64), end.astype(np.int64)]):
-        a, b = join_ranges(table[:, 0], table[:, 1])
-        out.append((SPANS, -1 - d % 1024, d, t, np.stack([a, b], axis=1).astype(np.int64).tobytes()))
-    return out
-
-
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _pack_run(ah, ph, doc, th, pos, right) -> bytes:
-    """Sorted by ``ah``."""
-    parts = [np.array([len(ah)], np.int64).tobytes(), _planes(np.diff(ah, prepend=np.uint64(0))), np.ascontiguousarray(ph).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()]
-    parts += [_planes(doc), _planes(th), _planes(pos.astype(np.uint32)), right.astype(np.uint8).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack_run(blob: bytes) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, at = int(data[:8].view(np.int64)[0]), 8
-
-    def planes(width, kind):
-        nonlocal at
-        x = np.ascontiguousarray(data[at : at + width * n].reshape(width, n).T).view(kind)[:, 0]
-        at += width * n
-        return x
-
-    ah = np.cumsum(planes(8, np.uint64), dtype=np.uint64)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :5] = data[at : at + 5 * n].reshape(n, 5)
-    at += 5 * n
-    doc, th, pos = planes(8, np.int64), planes(8, np.int64), planes(4, np.uint32).astype(np.int64)
-    return [ah, wide.view(np.uint64)[:, 0], doc, th, pos, data[at : at + n].astype(np.int64)]
-
-
-def _first_of_class(ah, ph, doc, th, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by anchor, context and place; whether a row opens a new anchor; ... a new context)."""
-    order = np.lexsort((pos, th, doc, ph, ah))
-    a, p = ah[order], ph[order]
-    anchor = np.concatenate([[True], a[1:] != a[:-1]])
-    return order, anchor, anchor | np.concatenate([[True], p[1:] != p[:-1]])
-
-
-def _context_span(pos, right, length) -> tuple[np.ndarray, np.ndarray]:
-    return np.maximum(0, pos - (length - GRAM)), pos + right
-
-
-def _fold(length: int, bits: int, common: np.ndarray):
-    """Texts to runs of anchors by shard, ranges that are repeats within the task, and contexts of common anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ah, ph, doc, th, pos, right = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            rows: list[tuple] = []
-            both = W.mix(ah ^ W.mix(ph + np.uint64(1)))
-            order = np.argsort(both)
-            same = both[order][1:] == both[order][:-1]
-            twin = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            sub = order[twin]
-            keep = np.ones(len(ah), bool)
-            if len(sub):
-                o, _, new = _first_of_class(ah[sub], ph[sub], doc[sub], th[sub], pos[sub])
-                again = sub[o[~new]]
-                keep[again] = False
-                lo, hi = _context_span(pos[again], right[again], length)
-                long = hi - lo >= length
-                rows += _span_rows(doc[again][long], th[again][long], lo[long], hi[long])
-            hot = keep & np.isin(ah, common) if len(common) else np.zeros(len(ah), bool)
-            if hot.any():
-                for d, t, table in _by_doc(doc[hot], th[hot], [pos[hot], right[hot], ah[hot].view(np.int64), np.ones(int(hot.sum()), np.int64)]):
-                    rows.append((ASKED, -1 - d % 1024, d, t, table.astype(np.int64).tobytes()))
-                keep &= ~hot
-            k = np.flatnonzero(keep)
-            k = k[np.argsort(ah[k])]
-            shard = (ah[k] >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(k)]]) if len(k) else np.zeros(1, np.int64)
-            for a, b in zip(edges[:-1], edges[1:]):
-                r = k[a:b]
-                rows.append((RUNS, int(shard[a]), 0, 0, _pack_run(ah[r], ph[r], doc[r], th[r], pos[r], right[r])))
-            for i in range(0, len(rows), 400):
-                yield _rows(rows[i : i + 400])
-
-        for batch in batches:
-            docs, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            body, offs = W.buffers(batch.column(2))
-            for k in range(batch.num_rows):
-                at, h, ctx, right = anchors(body[offs[k] : offs[k + 1]], length)
-                if len(at):
-                    held.append([h, ctx, np.full(len(at), docs[k], np.int64), np.full(len(at), ths[k], np.int64), at, right])
-                    size += len(at)
-                if size >= FOLD:
-                    yield from out()
-                    size = 0
-        if held:
-            yield from out()
-
-    return run
-
-
-def _shard(length: int):
-    """Anchors of a shard: repeats of equal contexts, and requests for the contexts of anchors that have several.
-
-    What the shards of a task find is held together, so that a text gets few rows.
-    """
-
-    def run(batches):
-        spans: list[list[np.ndarray]] = []
-        asked: list[list[np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows: list[tuple] = []
-            if spans:
-                rows += _span_rows(*(np.concatenate(c) for c in zip(*spans)))
-            if asked:
-                doc, th, *columns = (np.concatenate(c) for c in zip(*asked))
-                rows += [(ASKED, 0, d, t, table.astype(np.int64).tobytes()) for d, t, table in _by_doc(doc, th, columns)]
-            spans.clear(), asked.clear()
-            for i in range(0, len(rows), 400):
-                yield _rows(rows[i : i + 400])
-
-        for table in grouped(batches, 1):
-            bounds = group_bounds(table, 1)
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                part = table.slice(s, e - s)
-                if int(part.column(0)[0].as_py()) < 0:
-                    for b in part.select([1, 0, 2, 3, 4]).to_batches():
-                        yield pa.RecordBatch.from_arrays(b.columns, ["kind", "shard", "doc", "th", "data"])
-                    continue
-                ah, ph, doc, th, pos, right = (np.concatenate(c) for c in zip(*(_unpack_run(x) for x in part.column(4).to_pylist())))
-                order = np.argsort(ah)
-                same = ah[order][1:] == ah[order][:-1]
-                sub = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-                if not len(sub):
-                    continue
-                ah, ph, doc, th, pos, right = (x[sub] for x in (ah, ph, doc, th, pos, right))
-                order, anchor, new = _first_of_class(ah, ph, doc, th, pos)
-                ah, doc, th, pos, right = (x[order] for x in (ah, doc, th, pos, right))
-                lo, hi = _context_span(pos, right, length)
-                again = ~new & (hi - lo >= length)
-                spans.append([doc[again], th[again], lo[again], hi[again]])
-                classes = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
-                ask = new & (classes > 1)
-                asked.append([doc[ask], th[ask], pos[ask], right[ask], ah[ask].view(np.int64), (classes[ask] > WIDE).astype(np.int64)])
-                if sum(len(x[0]) for x in (*spans, *asked)) >= HELD:
-                    yield from out()
-        yield from out()
-
-    return run
-
-
-def _cut(length: int):
-    """Requested contexts out of (doc, th, compressed text, requests): (anchor, wide, doc, th, start, body)."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for d, t, z, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                text = zstandard.ZstdDecompressor().decompress(z)
-                for pos, right, ah, wide in np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in asked]):
-                    lo, hi = max(0, pos - (length - GRAM)), pos + right
-                    if hi - lo >= length:
-                        out.append((int(ah), bool(wide), d, t, int(lo), text[lo:hi]))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "wide", "doc", "th", "lo", "body"])
-
-    return run
-
-
 # ---- Burrows-Wheeler transforms --------------------------------------------------------------------------------------
 
 
@@ -378,153 +170,458 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return string, offset, np.where(offset > 0, x[previous], 0), np.where(offset > 0, rank[previous], 0)
 
 
-def merge(symbols: np.ndarray, before: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(symbols: np.ndarray, before: np.ndarray, first: np.ndarray, depth: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Interleave refinement of the Burrows-Wheeler transforms of several shards.
 
     Suffixes are named by their place in the shards' orders, one shard after the other:
     ``symbols`` are the transforms, ``before`` the places of the suffixes one symbol longer,
-    ``first`` the places to begin with. A suffix with fewer than ``depth`` symbols before it
-    runs out of them before the last round; it may be left out of ``first``. Round h deals the interleave stably by the symbols
-    before its suffixes; then suffixes stand by their first h symbols and share a block
-    exactly if these are equal. A suffix alone in its block stays alone, and so do the longer
-    ones it leads to: they leave the interleave. Returns the suffixes that share their first
-    ``depth`` symbols with others, in merged order, and their blocks.
+    ``first`` the places to begin with, each with ``depth`` symbols before it. Round h deals
+    the interleave stably by the symbols before its suffixes; then suffixes stand by their
+    first h symbols and share a block exactly if these are equal. A suffix alone in its block
+    stays alone, and so do the longer ones it leads to: it leaves the interleave, and is a
+    repeated interval of its own if it is ``heavy``. Returns the suffixes that share their
+    first ``depth`` symbols with others, in merged order, with their blocks; and the heavy
+    ones that left, with the symbols they were short of ``depth``.
     """
     at = first.astype(np.int32)
     block = np.zeros(len(at), np.int32)
-    rounds = [(symbols, before)] * depth
+    rounds = [(symbols, before, 1)] * depth
     if symbols.dtype == np.uint8:  # two rounds in one: dealing by pairs of symbols is dealing by one and then the other
-        lead = symbols[before]
-        pair = np.where((symbols > 0) & (lead > 0), lead.astype(np.uint16) << 8 | symbols, 0).astype(np.uint16)
-        rounds = [(pair, before[before])] * (depth // 2) + [(symbols, before)] * (depth % 2)
-    for dealt, longer in rounds:
+        pair = symbols[before].astype(np.uint16) << 8 | symbols
+        rounds = [(pair, before[before], 2)] * (depth // 2) + [(symbols, before, 1)] * (depth % 2)
+    left = depth
+    alone, short = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for dealt, longer, taken in rounds:
+        if not len(at):
+            break
         symbol = dealt[at]
         order = np.argsort(symbol, kind="stable")
         symbol = symbol[order]
-        none = int(np.searchsorted(symbol, 1))  # 0: no longer suffix
-        order, symbol = order[none:], symbol[none:]
-        if not len(order):
-            return at[:0], block[:0]
         earlier, at = block[order], longer[at[order]]
+        left -= taken
         head = np.empty(len(order) + 1, bool)
         head[0] = head[-1] = True
         np.not_equal(symbol[1:], symbol[:-1], out=head[1:-1])
         head[1:-1] |= earlier[1:] != earlier[:-1]
         keep = ~(head[:-1] & head[1:])
+        leaving = at[~keep]
+        leaving = leaving[heavy[leaving]]
+        alone.append(leaving)
+        short.append(np.full(len(leaving), left))
         block = np.cumsum(head[:-1], dtype=np.int32)[keep]
         at = at[keep]
-    return at, block
-
+    return at, block, np.concatenate(alone), np.concatenate(short)
 
-def repeated(strings: list[bytes], order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of all windows that also occur at an earlier place; ``order`` ranks (string, offset 0) places.
 
-    ``order``: rows (doc, th, start) of the strings.
-    """
+def repeated(strings: list[bytes], weights: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of distinct strings that occur more than once, a string counting as often as its weight: (string, offset, block)."""
+    none = np.zeros(0, np.int64)
     if not strings:
-        none = np.zeros(0, np.int64)
-        return none, none
-    groups = [np.arange(k, len(strings), TRANSFORMS) for k in range(min(TRANSFORMS, len(strings)))]
+        return none, none, none
     string, offset, symbols, before, base = [], [], [], [], 0
-    for g in groups:
-        of, at, symbol, longer = transform([strings[i] for i in g])
-        string.append(g[of]), offset.append(at), symbols.append(symbol), before.append(longer + base)
+    for k in range(min(TRANSFORMS, len(strings))):
+        shard = np.arange(k, len(strings), TRANSFORMS)
+        of, at, symbol, longer = transform([strings[i] for i in shard])
+        string.append(shard[of]), offset.append(at), symbols.append(symbol), before.append(longer + base)
         base += len(of)
     symbols, string, offset = (np.concatenate(x) for x in (symbols, string, offset))
     symbols = symbols.astype(np.uint8 if symbols.max() < 256 else np.uint16)
-    place, block = merge(symbols, np.concatenate(before).astype(np.int32), np.flatnonzero(offset >= length), length)
-    string, offset = string[place], offset[place]
-    if not len(block):
-        return string, offset
-    doc, th, start = order[string].T
-    start = start + offset
-    o = np.lexsort((start, th, doc, block))
-    # Strings may overlap in their text: the same place twice is no repeat.
-    head = np.concatenate([[True], block[o][1:] != block[o][:-1]])
-    first = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    o = o[(doc[o] != doc[first]) | (th[o] != th[first]) | (start[o] != start[first])]
-    return string[o], offset[o]
+    place, block, alone, short = merge(symbols, np.concatenate(before).astype(np.int32), np.flatnonzero(offset >= length), length, weights[string] > 1)
+    own = np.arange(len(alone)) + (int(block.max()) + 1 if len(block) else 0)
+    return np.concatenate([string[place], string[alone]]), np.concatenate([offset[place], offset[alone] - short]), np.concatenate([block, own]).astype(np.int64)
 
 
-def _merged(length: int):
-    """Rows sorted by anchor: (anchor, doc, th, lo, body) to ranges that are repeats."""
+def later_ranges(strings: list[bytes], owner: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is covered by windows that also start earlier: (row of ``places``, from, to), the ends counted from the row's start.
+
+    ``places``: rows (doc, th, start), ``owner`` the string that stands there; a window is at one place of one string only.
+    """
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], owner))
+    first = np.searchsorted(owner[order], np.arange(len(strings)))
+    weights = np.diff(first, append=len(order))
+    string, offset, block = repeated(strings, weights, length)
+    if not len(string):
+        return (np.zeros(0, np.int64),) * 3
+    doc, th, start = places[order[first[string]]].T
+    o = np.lexsort((start + offset, th, doc, block))
+    won = np.zeros(len(string), bool)
+    won[o[np.concatenate([[True], block[o][1:] != block[o][:-1]])]] = True
+
+    def ranges(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Joined windows by string: (string, from, to)."""
+        s, a = string[rows], offset[rows]
+        k = np.lexsort((a, s))
+        s, a = s[k], a[k]
+        head = np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] > a[:-1] + length)]) if len(s) else np.zeros(0, bool)
+        last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(s) - 1]]) if len(s) else np.zeros(0, np.int64)
+        return s[head], a[head], a[last] + length
+
+    # The first place of a string keeps the windows it won; all other places lose every repeated one.
+    s, a, e = ranges(np.flatnonzero(~won))
+    out = [(order[first[s]], a, e)]
+    s, a, e = ranges(np.arange(len(string)))
+    times = weights[s] - 1
+    row = np.repeat(np.arange(len(s)), times)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + 1
+    out.append((order[first[s[row]] + nth], a[row], e[row]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+# ---- files and rows --------------------------------------------------------------------------------------------------
+
+
+def _file(path: str) -> tuple[pafs.FileSystem, str]:
+    at = urlparse(path)
+    return (pafs.LocalFileSystem(), at.path) if at.scheme in ("", "file") else pafs.FileSystem.from_uri(path)
+
+
+def _dump(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers and of bytes; numbers by significance of their bytes, without upper zeros."""
+    parts = [bytes([len(arrays)])]
+    for x in arrays:
+        wide = x.dtype != np.uint8
+        x = np.ascontiguousarray(x)
+        width = max(1, (int(x.view(np.uint64).max()).bit_length() + 7) // 8) if wide and len(x) else 1
+        parts += [bytes([wide, width]), np.array([len(x)], np.int64).tobytes(), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if wide else x.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _load(blob: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 1
+    for _ in range(data[0]):
+        wide, width, n = data[at], data[at + 1], int(np.frombuffer(data, np.int64, 1, at + 2)[0])
+        x = np.frombuffer(data, np.uint8, width * n, at + 10)
+        if wide:
+            y = np.zeros((n, 8), np.uint8)
+            y[:, :width] = x.reshape(width, n).T
+            x = y.view(np.int64)[:, 0]
+        out.append(x)
+        at += 10 + width * n
+    return out
+
+
+class Chunk:
+    """Texts laid end to end, with their ids."""
+
+    def __init__(self, doc_id, null, doc, th, offsets, body):
+        self.doc_id, self.null, self.doc, self.th, self.offsets, self.body = doc_id, null, doc, th, offsets, body
+
+    def write(self, path: str) -> None:
+        """Whole or not at all: a task that runs twice writes the same file."""
+        fs, at = _file(path)
+        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        own = f"{at}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(_dump(self.doc_id, self.null, self.doc, self.th, self.offsets, self.body))
+        fs.move(own, at)
+
+    @classmethod
+    def read(cls, path: str) -> Chunk:
+        fs, at = _file(path)
+        with fs.open_input_stream(at) as f:
+            return cls(*_load(f.read()))
+
+    def joined(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges that overlap or touch within a text become one: (row, start, end)."""
+        row = np.searchsorted(self.offsets, start, side="right") - 1
+        start, end = join_ranges(start + row, end + row)  # a gap of one between texts
+        row = np.searchsorted(self.offsets + np.arange(len(self.offsets)), start, side="right") - 1
+        return row, start - row, end - row
+
+    def places(self, start: np.ndarray) -> np.ndarray:
+        """Rows (doc, th, start)."""
+        row = np.searchsorted(self.offsets, start, side="right") - 1
+        return np.stack([self.doc[row], self.th[row], start], axis=1)
+
+
+#: What a row is: a chunk there is; anchors of a chunk for a shard; a shard's answer to a chunk; contexts for a shard; ranges of a chunk; windows of split anchors for a shard; those of them to send.
+CHUNKS, ANCHORS, ANSWER, CONTEXTS, RANGES, WINDOWS, WANTED = range(7)
+_ROW = "shard long, chunk long, kind int, data binary"
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for i in range(0, len(rows), 64):
+        cols = list(zip(*rows[i : i + 64]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "chunk", "kind", "data"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[int], pa.ChunkedArray]]:
+    """(key, other key, kinds, data) of rows sorted by their first column."""
+    for table in grouped(batches, 1):
+        bounds = group_bounds(table, 1)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            part = table.slice(a, b - a)
+            yield int(part.column(0)[0].as_py()), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)
+
+
+def _cuts(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to)."""
+    cut = np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]]) if len(sorted_values) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(sorted_values[a]), int(a), int(b)
+
+
+def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+# ---- stages ----------------------------------------------------------------------------------------------------------
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
+    held: list[tuple] = []
+    size = rows = 0
+
+    def out() -> Chunk:
+        doc_id, null, doc, th, sizes, body = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return Chunk(doc_id, null.astype(np.uint8), doc, th, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), body)
+
+    for batch in batches:
+        body, offs = W.buffers(batch.column(3))
+        a = 0
+        while a < batch.num_rows:
+            b = min(batch.num_rows, max(a + 1, int(np.searchsorted(offs, offs[a] + most - size))))
+            ids = batch.column(0).slice(a, b - a)
+            part = [batch.column(k).slice(a, b - a).to_numpy() for k in (1, 2)]
+            held.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), *part, np.diff(offs[a : b + 1]), body[offs[a] : offs[b]]))
+            size, rows, a = size + int(offs[b] - offs[a]), rows + b - a, b
+            if size >= most or rows >= CHUNK_ROWS:
+                yield out()
+                size = rows = 0
+    if held:
+        yield out()
+
+
+def _distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(sorted distinct keys, how often, cuts by shard)."""
+    u, n = np.unique(keys, return_counts=True)
+    return u, n, list(_cuts(_shard_of(u, bits)))
+
+
+def _fold(folder: str, length: int, bits: int, most: int, hash_bits: int):
+    """Texts to chunk files, and the distinct anchors of each chunk by shard."""
 
     def run(batches):
-        def out(tables) -> pa.RecordBatch:
-            t = pa.concat_tables(tables)
-            place = np.stack([t.column(k).to_numpy() for k in (1, 2, 3)], axis=1)
-            s, off = repeated(t.column(4).to_pylist(), place, length)
-            start = place[s, 2] + off
-            return _rows(_span_rows(place[s, 0], place[s, 1], start, start + length))
-
-        held, size = [], 0
-        for table in grouped(batches, 1):
-            bounds = group_bounds(table, 1)
-            lengths = table.column(4).combine_chunks().nbytes // max(1, table.num_rows)
-            a = 0
-            for b in bounds[1:]:
-                if size + (b - a) * lengths >= BATCH_BYTES or b == table.num_rows:
-                    held.append(table.slice(a, b - a))
-                    size += (b - a) * lengths
-                    a = b
-                    if size >= BATCH_BYTES:
-                        yield out(held)
-                        held, size = [], 0
-        if held:
-            yield out(held)
+        # The same rows of a partition make the same chunks whenever a task runs again.
+        name = TaskContext.get().partitionId() << 24
+        for chunk in _chunks(batches, most):
+            chunk.write(f"{folder}/{name}")
+            h, _, _ = anchors(chunk.body, chunk.offsets, length, hash_bits)
+            u, n, cuts = _distinct(h, bits)
+            rows = [(s, name, ANCHORS, _dump(np.diff(u[a:b], prepend=np.uint64(0)), n[a:b])) for s, a, b in cuts]
+            yield from _rows([(-1 - name, name, CHUNKS, None), *rows])
+            name += 1
 
     return run
 
 
-def _windows(length: int):
+def _answer(wide: int):
+    """Of a shard's anchors: 0 for those that occur once, 1, or 2 if more often than ``wide``; to each chunk in the order it sent them."""
+
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                h1, h2, doc, th, start = [], [], [], [], []
-                for d, t, lo, body in zip(*(c.to_pylist() for c in part.columns)):
-                    a, b = window_hashes(np.frombuffer(body, np.uint8), length)
-                    h1.append(a.view(np.int64)), h2.append(b.view(np.int64)), start.append(lo + np.arange(len(a)))
-                    doc.append(np.full(len(a), d, np.int64)), th.append(np.full(len(a), t, np.int64))
-                cat = lambda v: pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([cat(h1), cat(h2), cat(doc), cat(th), cat(start)], ["h1", "h2", "doc", "th", "start"])
+        for shard, chunks, kinds, data in _groups(batches):
+            if shard < 0:
+                yield from _rows([(shard, c, k, None) for c, k in zip(chunks, kinds)])
+                continue
+            sent = [_load(x.as_py()) for x in data]
+            u, at = np.unique(np.concatenate([np.cumsum(d.view(np.uint64), dtype=np.uint64) for d, _ in sent]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c for _, c in sent]), minlength=len(u))
+            state = ((n > 1).astype(np.uint8) + (n > wide))[at].astype(np.uint8)
+            ends = np.cumsum([len(d) for d, _ in sent])
+            yield from _rows([(shard, c, ANSWER, _dump(state[e - len(d) : e])) for c, e, (d, _) in zip(chunks, ends, sent)])
 
     return run
 
 
-def _windows_to_spans(length: int):
+def _pack_strings(keys: list[int], strings: list[bytes], owner: np.ndarray, places: np.ndarray) -> bytes:
+    """Strings sorted by key; places sorted by string: (doc, th, start)."""
+    k = np.array(keys, np.uint64)
+    sizes = np.array([len(x) for x in strings], np.int64)
+    return _dump(np.diff(k, prepend=np.uint64(0)), sizes, np.bincount(owner, minlength=len(strings)).astype(np.int64), *places.T, np.frombuffer(b"".join(strings), np.uint8))
+
+
+def _string_rows(name: int, found: dict[tuple[int, bytes], list[int]], chunk: Chunk, bits: int) -> list[tuple]:
+    """``found``: key and string to starts; a row a shard."""
+    rows = []
+    items = sorted(found.items())
+    for s, a, b in _cuts(_shard_of(np.array([k for (k, _), _ in items], np.uint64), bits)):
+        part = items[a:b]
+        owner = np.repeat(np.arange(len(part)), [len(at) for _, at in part])
+        places = chunk.places(np.array([x for _, at in part for x in at], np.int64))
+        rows.append((s, name, CONTEXTS, _pack_strings([k for (k, _), _ in part], [t for (_, t), _ in part], owner, places)))
+    return rows
+
+
+def _range_row(name: int, start: np.ndarray, end: np.ndarray) -> tuple:
+    order = np.argsort(start, kind="stable")
+    return -1 - name, name, RANGES, _dump(np.diff(start[order].astype(np.int64), prepend=0), (end - start)[order].astype(np.int64))
+
+
+def _cut(folder: str, length: int, bits: int, hash_bits: int):
+    """The contexts of a chunk's repeated anchors, as distinct strings with their places; split anchors as windows."""
+
     def run(batches):
-        for b in batches:
-            doc, th, start = (c.to_numpy() for c in b.columns)
-            yield _rows(_span_rows(doc, th, start, start + length))
+        for name, shards, kinds, data in _groups(batches):
+            yield from _rows([(-1 - name, name, CHUNKS, None)])
+            answers = {s: _load(x.as_py())[0] for s, k, x in zip(shards, kinds, data) if k == ANSWER}
+            if not any(x.any() for x in answers.values()):
+                continue
+            chunk = Chunk.read(f"{folder}/{name}")
+            h, first, windows = anchors(chunk.body, chunk.offsets, length, hash_bits)
+            u, _, cuts = _distinct(h, bits)
+            state = np.concatenate([answers[s] for s, _, _ in cuts])[np.searchsorted(u, h)]
+            body = chunk.body.tobytes()
+            found: dict[tuple[int, bytes], list[int]] = {}
+            hit = np.flatnonzero(state == 1)
+            for key, a, e in zip(h[hit].tolist(), first[hit].tolist(), (first + windows + length - 1)[hit].tolist()):
+                found.setdefault((key, body[a:e]), []).append(a)
+            yield from _rows(_string_rows(name, found, chunk, bits))
+            del found
+            hit = np.flatnonzero(state == 2)
+            if len(hit):
+                yield from _split(name, chunk, body, first[hit], windows[hit], length, bits, hash_bits)
 
     return run
 
 
-def _compressed(batches):
-    for b in batches:
-        c = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.compress(x) for x in b.column(3).to_pylist()], pa.binary())], ["doc_id", "doc", "th", "z"])
+def _split(name: int, chunk: Chunk, body: bytes, first: np.ndarray, windows: np.ndarray, length: int, bits: int, hash_bits: int) -> Iterator[pa.RecordBatch]:
+    """Windows of split anchors: a chunk's later copies are ranges at once, the first of each goes on as a hash."""
+    start = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+    places = chunk.places(start)
+    earliest: dict[bytes, int] = {}
+    later = []
+    for k in np.lexsort((start, places[:, 1], places[:, 0])).tolist():
+        a = int(start[k])
+        if earliest.setdefault(body[a : a + length], a) != a:
+            later.append(a)
+    if later:
+        at = np.array(later, np.int64)
+        yield from _rows([_range_row(name, *chunk.joined(at, at + length)[1:])])
+    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in earliest], np.uint64)
+    if hash_bits < 64:
+        keys[:] = 0
+    at = np.array(list(earliest.values()), np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    yield from _rows([(s, name, WINDOWS, _dump(np.diff(keys[a:b], prepend=np.uint64(0)), at[a:b])) for s, a, b in _cuts(_shard_of(keys, bits))])
 
 
-def _remove(keep_text: bool):
+def _merged(length: int):
+    """Contexts of a shard to ranges of chunks; windows that several chunks sent are asked for."""
+
+    def strings_of(chunks, kinds, data):
+        """Distinct strings by key, the string of each place, and (doc, th, start, chunk) of each place."""
+        number: dict[bytes, int] = {}
+        keys, owner, places = [], [], []
+        for c, kind, x in zip(chunks, kinds, data):
+            if kind != CONTEXTS:
+                continue
+            key, sizes, n, doc, th, start, raw = _load(x.as_py())
+            raw, ends = raw.tobytes(), np.cumsum(sizes)
+            at = []
+            for k, e, size in zip(np.cumsum(key.view(np.uint64), dtype=np.uint64).tolist(), ends.tolist(), sizes.tolist()):
+                i = number.setdefault(raw[e - size : e], len(number))
+                if i == len(keys):
+                    keys.append(k)
+                at.append(i)
+            owner.append(np.repeat(np.array(at, np.int64), n))
+            places.append(np.stack([doc, th, start, np.full(len(doc), c, np.int64)], axis=1))
+        return keys, list(number), owner, places
+
     def run(batches):
-        for b in batches:
-            out = []
-            for doc, z, spans in zip(*(c.to_pylist() for c in b.columns)):
-                text = zstandard.ZstdDecompressor().decompress(z)
-                table = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans or [b""]])
-                start, end = join_ranges(table[:, 0], table[:, 1])
-                kept, at = [], 0
-                for a, e in zip(start.tolist(), end.tolist()):
-                    kept.append(text[at:a])
+        for shard, chunks, kinds, data in _groups(batches):
+            if shard < 0:
+                yield from _rows([(shard, c, k, x.as_py()) for c, k, x in zip(chunks, kinds, data)])
+                continue
+            keys, strings, owner, places = strings_of(chunks, kinds, data)
+            if strings:
+                yield from ranges_of(np.array(keys, np.uint64), strings, np.concatenate(owner), np.concatenate(places))
+            del keys, strings, owner, places
+            sent = [(c, _load(x.as_py())) for c, k, x in zip(chunks, kinds, data) if k == WINDOWS]
+            if sent:
+                u, at, n = np.unique(np.concatenate([np.cumsum(d.view(np.uint64), dtype=np.uint64) for _, (d, _) in sent]), return_inverse=True, return_counts=True)
+                several = (n > 1)[at]
+                ends = np.cumsum([len(d) for _, (d, _) in sent])
+                asked = [(c, d, p, several[e - len(d) : e]) for (c, (d, p)), e in zip(sent, ends)]
+                yield from _rows([(-1 - c, c, WANTED, _dump(np.cumsum(d)[w], p[w])) for c, d, p, w in asked if w.any()])
+
+    def ranges_of(keys, strings, owner, places):
+        by_key = np.argsort(keys, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[by_key] = np.arange(len(keys))
+        owner = rank[owner]
+        order = np.argsort(owner, kind="stable")
+        owner, places = owner[order], places[order]
+        weight = np.bincount(owner, minlength=len(keys))
+        keys = keys[by_key]
+        group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
+        sizes = np.array([len(strings[i]) for i in by_key])
+        # A group of one place has no repeat.
+        some = np.bincount(group, weights=weight)[group] > 1
+        volume = np.cumsum(np.where(some, sizes, 0)) // BATCH_BYTES
+        batch = volume[np.searchsorted(group, group)]  # whole groups
+        out = []
+        for _, a, b in _cuts(batch):
+            rows = np.arange(a, b)[some[a:b]]
+            if not len(rows):
+                continue
+            lo, hi = np.searchsorted(owner, [a, b])
+            mine = np.flatnonzero(some[owner[lo:hi]]) + lo
+            local = np.searchsorted(rows, owner[mine])
+            row, start, end = later_ranges([strings[i] for i in by_key[rows]], local, places[mine][:, :3], length)
+            at = places[mine[row]]
+            out.append((at[:, 3], at[:, 2] + start, at[:, 2] + end))
+        chunk, start, end = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(chunk, kind="stable")
+        rows = []
+        for c, a, b in _cuts(chunk[order]):
+            k = order[a:b]
+            rows.append(_range_row(c, start[k], end[k]))
+        yield from _rows(rows)
+
+    return run
+
+
+def _cut_windows(folder: str, length: int, bits: int):
+    """The windows of split anchors that other chunks have too, as strings."""
+
+    def run(batches):
+        for name, _, _, data in _groups(batches):
+            asked = [_load(x.as_py()) for x in data]
+            keys, at = np.concatenate([k for k, _ in asked]).view(np.uint64), np.concatenate([a for _, a in asked])
+            chunk = Chunk.read(f"{folder}/{name}")
+            found = {(k, chunk.body[a : a + length].tobytes()): [a] for k, a in zip(keys.tolist(), at.tolist())}
+            yield from _rows(_string_rows(name, found, chunk, bits))
+
+    return run
+
+
+def _remove(folder: str, keep_text: bool):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+    def run(batches):
+        for name, _, of, data in _groups(batches):
+            chunk = Chunk.read(f"{folder}/{name}")
+            found = [_load(x.as_py()) for k, x in zip(of, data) if k == RANGES]
+            start = np.concatenate([np.cumsum(a) for a, _ in found] or [np.zeros(0, np.int64)])
+            end = start + np.concatenate([n for _, n in found] or [start])
+            row, start, end = chunk.joined(start, end)
+            bounds = np.searchsorted(row, np.arange(len(chunk.doc) + 1))
+            body, out = chunk.body.tobytes(), []
+            for d, (lo, hi) in enumerate(zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist())):
+                kept, at = [], lo
+                for a, e in zip(start[bounds[d] : bounds[d + 1]].tolist(), end[bounds[d] : bounds[d + 1]].tolist()):
+                    kept.append(body[at:a])
                     at = e
-                kept.append(text[at:])
-                left = b"".join(kept)
-                out.append((doc, len(text), len(text) - len(left), len(start), hashlib.sha256(left).hexdigest(), left if keep_text else None))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                left = b"".join([*kept, body[at:hi]])
+                doc_id = None if chunk.null[d] else int(chunk.doc_id[d])
+                out.append((doc_id, hi - lo, hi - lo - len(left), int(bounds[d + 1] - bounds[d]), hashlib.sha256(left).hexdigest(), left if keep_text else None))
+            for i in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 1000]), kinds)], names)
 
     return run
 
@@ -540,12 +637,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return cluster.saved(named.unionByName(others).select("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "th", "body"), "numbered")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = False, chunk_bytes: int = CHUNK, wide: int = WIDE, hash_bits: int = 64) -> DataFrame:
     """Remove repeated strings from ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier (in a
     smaller doc_id, or earlier in the same text); strings are judged on the input. ``kept``
-    holds the bytes left where ``keep_text``, else null. ``length`` is over 32.
+    holds the bytes left where ``keep_text``, else null. ``length`` is over 32. The result
+    does not depend on ``chunk_bytes``, ``wide`` and ``hash_bits``.
 
     Defined cases: a null text is empty. Rows with a null doc_id come last. Rows of one
     doc_id are texts of their own, in the order of their bytes. Other columns are ignored.
@@ -553,47 +651,21 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = F
     """
     spark = docs.sparkSession
     cluster.tune(spark)
+    folder = cluster.new_path(spark, "chunks")
     rows = _numbered(docs)
-    total, n = rows.agg(F.sum(F.octet_length("body")), F.count("*")).first()
-    bits = max(2, int(np.ceil(np.log2(max(1, (total or 0) / SHARD_BYTES)))))
-    parts = rows.select("doc", "th", "body")
-    # Performance only: an anchor in many texts of the sample is compared by windows.
-    sample = parts.where(F.pmod(F.xxhash64("doc", "th"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_TEXTS / max(1, n)) * (1 << 20)))
-    common = sample.mapInArrow(_sampled_anchors(length), "ah long").groupBy("ah").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "ah").limit(10_000).collect()
-    hot = np.sort(np.array([r.ah for r in common], np.int64).view(np.uint64))
-    folded = parts.mapInArrow(_fold(length, bits, hot), _ROW)
-    found = cluster.saved(
-        folded.select("shard", "kind", "doc", "th", "data").repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard(length), _ROW).select("kind", "doc", "th", "data"), "anchors"
-    )
-    texts = rows.select("doc_id", "doc", "th", "body").mapInArrow(_compressed, "doc_id long, doc long, th long, z binary")
-    asked = found.where(f"kind = {ASKED}").groupBy("doc", "th").agg(F.collect_list("data").alias("asked"))
-    contexts = cluster.saved(
-        texts.join(asked, ["doc", "th"]).select("doc", "th", "z", "asked").mapInArrow(_cut(length), "anchor long, wide boolean, doc long, th long, lo long, body binary"), "contexts"
-    )
-    merged = (
-        contexts.where("NOT wide").select("anchor", "doc", "th", "lo", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged(length), _ROW)
-    )
-    windows = contexts.where("wide").select("doc", "th", "lo", "body").mapInArrow(_windows(length), "h1 long, h2 long, doc long, th long, start long").distinct()
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(firsts, ["h1", "h2"]).where(F.struct("doc", "th", "start") > F.col("first")).select("doc", "th", "start")
-    by_window = later.mapInArrow(_windows_to_spans(length), _ROW)
-    spans = (
-        found.where(f"kind = {SPANS}").select("doc", "th", "data").unionByName(merged.select("doc", "th", "data")).unionByName(by_window.select("doc", "th", "data"))
-    )
-    per_text = spans.groupBy("doc", "th").agg(F.collect_list("data").alias("spans"))
-    return texts.join(per_text, ["doc", "th"], "left").select("doc_id", "z", "spans").mapInArrow(
-        _remove(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-
-
-def _sampled_anchors(length: int):
-    def run(batches):
-        for b in batches:
-            body, offs = W.buffers(b.column(2))
-            found = [np.unique(anchors(body[offs[k] : offs[k + 1]], length)[1]) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.uint64).view(np.int64) if found else np.zeros(0, np.int64))], ["ah"])
-
-    return run
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = max(2, int(np.ceil(np.log2(max(1, total / SHARD_BYTES)))))
+
+    def by(key: str, df: DataFrame, then: Callable) -> DataFrame:
+        other = "chunk" if key == "shard" else "shard"
+        return df.select(key, other, "kind", "data").repartition(key).sortWithinPartitions(key).mapInArrow(then, _ROW)
+
+    folded = rows.mapInArrow(_fold(folder, length, bits, chunk_bytes, hash_bits), _ROW)
+    contexts = by("chunk", by("shard", folded, _answer(wide)), _cut(folder, length, bits, hash_bits))
+    merged = cluster.saved(by("shard", contexts, _merged(length)), "ranges")
+    more = by("shard", by("chunk", merged.where(f"kind = {WANTED}"), _cut_windows(folder, length, bits)), _merged(length))
+    ranges = merged.where(f"kind <> {WANTED}").unionByName(more).select("chunk", "shard", "kind", "data").repartition("chunk").sortWithinPartitions("chunk")
+    return ranges.mapInArrow(_remove(folder, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -155,17 +155,25 @@ def repeats_corpus():
     return rows
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_repeats(spark, monkeypatch, wide):
-    if wide:  # every group by windows, in a few anchors a fold
-        monkeypatch.setattr(suffix_dedup, "WIDE", 1)
-        monkeypatch.setattr(suffix_dedup, "FOLD", 16)
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"wide": 1, "chunk_bytes": 900}, {"wide": 4, "chunk_bytes": 3000}, {"hash_bits": 0}, {"hash_bits": 0, "wide": 1, "chunk_bytes": 2000}],
+    ids=["whole", "all split", "some split", "hashes collide", "hashes collide, all split"],
+)
+def test_repeats(spark, options):
     rows = repeats_corpus()
     want = brute_repeats(rows, 100)
-    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    got = suffix_dedup.remove_repeats(frame(spark, rows), **options).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {rows[k][0]: v for k, v in want.items()}
 
 
+def test_repeats_of_other_lengths(spark):
+    rows = repeats_corpus()
+    want = brute_repeats(rows, 47)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=47, chunk_bytes=4000, wide=6, keep_text=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == {rows[k][0]: v for k, v in want.items()}
+
+
 def test_repeats_of_odd_rows(spark):
     long = "".join(random.Random(9).choice("abcdef") for _ in range(400))
     rows = [(None, long, "s"), (7, long, "s"), (7, long, "s"), (7, long[:150], "s"), (3, "x" + long[50:], "s"), (None, None, "s")]
@@ -177,25 +185,30 @@ def test_repeats_of_odd_rows(spark):
 
 def test_merge_of_transforms():
     rng = random.Random(1)
-    for _ in range(150):
-        length, n = rng.choice([1, 2, 3, 5, 8]), rng.randint(0, 9)
-        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(n)]
+    for _ in range(300):
+        length, n = rng.choice([1, 2, 3, 5, 8]), rng.randint(0, 12)
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14))) for _ in range(n)]
         place = np.array([(rng.randint(0, 2), 0, 100 * i) for i in range(n)], np.int64).reshape(-1, 3)
-        s, o = suffix_dedup.repeated(strings, place, length)
+        strings = sorted(set(texts))
+        row, start, end = suffix_dedup.later_ranges(strings, np.array([strings.index(x) for x in texts], np.int64), place, length)
         at = collections.defaultdict(list)
-        for i, x in enumerate(strings):
+        for i, x in enumerate(texts):
             for k in range(len(x) - length + 1):
                 at[x[k : k + length]].append((*(place[i] + (0, 0, k)).tolist(), i, k))
-        want = sorted(t[3:] for v in at.values() for t in v if t[:3] > min(v)[:3])
-        assert sorted(zip(s.tolist(), o.tolist())) == want
-
-
-def test_windows_of_long_texts_have_anchors(monkeypatch):
-    b = np.frombuffer(bytes(random.Random(5).choice(b"abcdefgh ") for _ in range(5000)), np.uint8)
-    whole = suffix_dedup.anchors(b, 100)
-    monkeypatch.setattr(suffix_dedup, "_CHUNK", 600)
-    for x, y in zip(whole, suffix_dedup.anchors(b, 100)):
-        assert np.array_equal(x, y)
+        want = {(t[3], t[4] + j) for v in at.values() for t in v if t[:3] > min(v)[:3] for j in range(length)}
+        assert {(i, j) for i, a, e in zip(row.tolist(), start.tolist(), end.tolist()) for j in range(a, e)} == want
+
+
+def test_each_window_has_one_anchor(monkeypatch):
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.choice([0, 50, 99, 100, 101, 700, 3000]))) for _ in range(30)]
+    b, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    of = lambda: {s: h for h, f, n in zip(*(x.tolist() for x in suffix_dedup.anchors(b, offs, 100))) for s in range(f, f + n)}
+    whole = of()
+    assert sorted(whole) == [s for a, e in zip(offs, offs[1:]) for s in range(a, e - 99)]
+    assert len(set(whole.values())) < len(whole) / 20
+    monkeypatch.setattr(suffix_dedup, "_STEP", 600)
+    assert of() == whole
 
 
 # ---- mixing ------------------------------------------------------------------------------------------------------
