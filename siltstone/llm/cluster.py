@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to Python; both bound a worker's memory.
-BATCH_ROWS = 400
+BATCH_ROWS, BATCH_BYTES = 400, 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, as one row may hold a very long text, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:

@@ -52,6 +52,8 @@ from siltstone.llm.minhash import group_bounds, grouped
 LENGTH, GRAM = 100, 32
 #: Bytes and rows of a chunk, bytes of text a shard stands for, places of an anchor that is not split.
 CHUNK, CHUNK_ROWS, SHARD_BYTES, WIDE = 8 << 20, 1 << 17, 12_000_000, 2048
+#: Bytes of text a task of a later stage stands for. The partitions are counted from the text, as what they are sent is far smaller.
+TASK_BYTES = 64 << 20
 #: Bytes of the strings of a batch, transforms of a batch.
 BATCH_BYTES, TRANSFORMS = 1 << 20, 4
 _POS = np.uint64((1 << 24) - 1)
@@ -101,7 +103,8 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int, hash_bits: int =
         stops = np.flatnonzero(head | ~inside)
         after = np.searchsorted(stops, first, side="right")
         end = np.concatenate([stops, [k]])[after]
-        found.append((grams[place[first]], first + c, end - first))
+        # Anchors are least hashes: mixed once more, or most of them would meet in the first shards.
+        found.append((W.mix(grams[place[first]] + np.uint64(1)), first + c, end - first))
     if not found:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
@@ -656,15 +659,17 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_text: bool = F
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, total / SHARD_BYTES)))))
 
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+
     def by(key: str, df: DataFrame, then: Callable) -> DataFrame:
         other = "chunk" if key == "shard" else "shard"
-        return df.select(key, other, "kind", "data").repartition(key).sortWithinPartitions(key).mapInArrow(then, _ROW)
+        return df.select(key, other, "kind", "data").repartition(parts, key).sortWithinPartitions(key).mapInArrow(then, _ROW)
 
     folded = rows.mapInArrow(_fold(folder, length, bits, chunk_bytes, hash_bits), _ROW)
     contexts = by("chunk", by("shard", folded, _answer(wide)), _cut(folder, length, bits, hash_bits))
     merged = cluster.saved(by("shard", contexts, _merged(length)), "ranges")
     more = by("shard", by("chunk", merged.where(f"kind = {WANTED}"), _cut_windows(folder, length, bits)), _merged(length))
-    ranges = merged.where(f"kind <> {WANTED}").unionByName(more).select("chunk", "shard", "kind", "data").repartition("chunk").sortWithinPartitions("chunk")
+    ranges = merged.where(f"kind <> {WANTED}").unionByName(more).select("chunk", "shard", "kind", "data").repartition(parts, "chunk").sortWithinPartitions("chunk")
     return ranges.mapInArrow(_remove(folder, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
