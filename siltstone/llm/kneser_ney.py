@@ -44,9 +44,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the end token and of the token that stands before a text; a word meets one of them with a chance of 2**-63.
 END, BEGIN = np.uint64(0x5BF0_3635_DE5C_A1B1), np.uint64(0xC2B7_4F1D_9A60_77E3)
 #: Tokens whose n-grams a task folds at a time, distinct words it holds, tokens it scores at a time, bytes of text a shard stands for.
-FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 19, 16_000_000
-#: Bytes of text whose hashes are held at a time; rows end where they end.
-TEXT_BYTES = 4 << 20
+FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 21, 1 << 20, 1 << 19, 8_000_000
+#: Bytes of text whose hashes are held at a time, in counting and in scoring; rows end where they end.
+TEXT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
 #: Bits of a hash a gram file stores with each gram; the bits above are given by the shard and the place.
 STORED = 48
 _MAX_BITS = 20
@@ -304,8 +304,8 @@ def _find_grams(path: str, bits: int, keys: np.ndarray, n_columns: int) -> tuple
 # ---- vocabulary ------------------------------------------------------------------------------------------------------
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Rows of about ``TEXT_BYTES`` of text at a time: (rows, token hashes, offsets)."""
+def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of about ``most`` bytes of text at a time: (rows, token hashes, offsets)."""
     held, size = [], 0
 
     def out():
@@ -318,7 +318,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
         if batch.num_rows:
             held.append(batch)
             size += batch.column(column).nbytes
-        if size >= TEXT_BYTES:
+        if size >= most:
             yield out()
             size = 0
     if held:
@@ -333,7 +333,7 @@ def _fold_words(bits: int):
             shard = (key >> np.uint64(64 - bits)).astype(np.int64)
             yield from _sent([(s, GRAMS, 1, _pack([key[a:b]], [n[a:b]]), None) for s, a, b in _edges(shard)])
 
-        for _, tok, _ in _texts(batches, 0):
+        for _, tok, _ in _texts(batches, 0, TEXT_BYTES):
             u, c = np.unique(tok, return_counts=True)
             both = np.concatenate([key, u])
             order = np.argsort(both, kind="stable")
@@ -399,7 +399,7 @@ class Vocabulary:
 def _fold_grams(folder: str, bits: int, order: int):
     def run(batches):
         words = Vocabulary(folder, bits)
-        for _, tok, starts in _texts(batches, 0):
+        for _, tok, starts in _texts(batches, 0, TEXT_BYTES):
             ids, at = padded(words.ids(tok), starts, words.begin, order)
             del tok
             for i in range(0, len(at), FOLD):
@@ -602,7 +602,7 @@ class Model:
 def _scorer(folder: str):
     def run(batches):
         model = Model(folder)
-        for table, tok, starts in _texts(batches, 2):
+        for table, tok, starts in _texts(batches, 2, SCORE_BYTES):
             known, base, score = model.score(tok, starts)
             columns = [pa.array(np.diff(starts).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
             part = pa.Table.from_arrays([table.column(0), table.column(1), *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
