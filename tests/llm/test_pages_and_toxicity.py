@@ -1,6 +1,8 @@
 """Main text of pages, toxicity, and the pipeline as a whole."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -164,3 +166,160 @@ def test_pipeline_of_odd_rows(spark):
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for name, stage in corpus_pipeline.STAGES:
             docs = cluster.saved(stage(spark, docs, DATA), name.replace(" ", "_"))
+
+
+# ---- density -----------------------------------------------------------------------------------------------------
+
+
+def neutral_page(article="div", extra=""):
+    text = "".join(f"<p>{f'Sentence number {i} of the article is here. ' * 6}</p>" for i in range(4))
+    return (
+        "<body><div class='n'><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div>"
+        f"<{article} class='a'><h1>T</h1>{text}{extra}</{article}>"
+        "<div class='b'><p>Great post!</p><p>I do not agree with this at all.</p><p>Thanks for sharing it.</p></div>"
+        "<div class='c'>Copyright 2024 Example. All rights reserved.</div></body>"
+    )
+
+
+def test_content_of_pages_without_telling_names():
+    lines = html_text.extract(neutral_page()).split("\n")
+    assert lines[0] == "T" and len(lines) == 5 and all(x.startswith("Sentence number") for x in lines[1:])
+    parts = neutral_page().replace("<p>Sentence number 2", "</div><div class='z'><p>Sentence number 2")
+    assert html_text.extract(parts).split("\n") == lines
+
+
+def test_density_decides_on_the_given_pages(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect()]
+    got = [html_text.extract(p) for p in pages]
+    assert [html_text.extract(re.sub(r'class="[^"]*"', 'class="x7"', p)) for p in pages] == got
+    monkeypatch.setattr(html_text, "_content", lambda body: ([body], set()))
+    assert all(html_text.extract(p) != g for p, g in zip(pages, got))
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p class='notice-board'>The board stays.</p>", "The board stays."),
+        ("<div class='menu-planning'>Planning stays.</div>", "Planning stays."),
+        ("<section id='search-theory'><p>Theory stays.</p></section>", "Theory stays."),
+        ("<p>before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after</p>", "before x=2 after"),
+        ("<div class='comment-list'><p>Nice.</p></div>", None),
+        ("<aside>Beside.</aside><form>Name <input><button>Send</button></form>", None),
+        ("<div class='wide ad-box'>Buy.</div><div class='cookie-notice'>Cookies.</div>", None),
+    ],
+)
+def test_names_in_an_article(inner, text):
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>A first paragraph of text.</p>{inner}<p>last one</p></article><footer>F</footer></body>"
+    assert html_text.extract(page).split("\n") == ["T", "A first paragraph of text.", *([text] if text else []), "last one"]
+
+
+def test_ends_of_raw_elements_are_found_in_any_case():
+    page = f"<body><p>{'İ' * 50} first</p><script>var a = '</p>';</script><p>second</p><SCRIPT>b</ScRiPt><p>third</p></body>"
+    assert html_text.extract(page).split("\n") == ["İ" * 50 + " first", "second", "third"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda k: "<div>" * k + "</section>" * k,
+        lambda k: "<i><div>" + "<b>" * k + "</i>" * k,
+        lambda k: "<b>" * k + "<p></p>" * k,
+        lambda k: "<li><ul>" + "<div>" * k + "<li></li>" * k,
+        lambda k: "<p>" + "<div></p>" * k,
+    ],
+)
+def test_nesting_takes_linear_time(page):
+    import time
+
+    def took(k):
+        began = time.process_time()
+        html_text.extract(page(k))
+        return time.process_time() - began
+
+    took(100)
+    assert min(took(16000) for _ in range(2)) < 16 * max(0.02, min(took(2000) for _ in range(3)))
+
+
+def test_density_sums_by_the_plain_formula():
+    """The counts of the one-pass code against a recursive reading of the definition."""
+    rng = random.Random(4)
+
+    def tree(depth):
+        kind = rng.choice(["div", "p", "a", "b", "section", "nav"] if depth else ["p", "a"])
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else "word " * rng.randint(0, 9) for _ in range(rng.randint(1, 4)))
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(60):
+        root = html_text.parse(f"<body>{''.join(tree(3) for _ in range(3))}</body>")
+        order = html_text._count(root)
+        body = next(n for n in order if n.tag == "body")
+        html_text._densities(order, body)
+
+        def counts(node):
+            """(characters, tags, link characters, link tags)"""
+            c = t = lc = lt = 0
+            for x in node.children:
+                if isinstance(x, str):
+                    c += len(" ".join(x.split()))
+                else:
+                    a = counts(x)
+                    c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3]
+            return (c, t, c, t + 1) if node.tag in ("a", "nav") else (c, t, lc, lt)
+
+        def plain(node):
+            c, t, lc, lt = counts(node)
+            b = counts(body)
+            if c < 2 or c == lc:
+                return 0.0
+            inside = c / (c - lc) * lc + (b[2] / b[0] if b[0] else 0) * c + math.e
+            return max(0.0, c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(inside))
+
+        for node in order:
+            assert math.isclose(node.density, plain(node), rel_tol=1e-9)
+            assert math.isclose(node.total, sum(plain(x) for x in node.children if not isinstance(x, str) and x.tag in html_text.BLOCK), rel_tol=1e-9)
+        free = lambda n: n is None or not n.marked and free(n.parent)
+        sums = [n.total for n in order if n.tag not in ("#root", "body") and free(n)]
+        best = html_text._best(body)  # no article here
+        assert best.total == max(sums, default=0) if best is not body else 2 * max(sums, default=0) <= body.total or not max(sums, default=0)
+
+
+# ---- toxicity against a direct reading of the grammar ------------------------------------------------------------
+
+
+def direct_clause(words, grammar):
+    """A clause's weight read rule by rule, without machines."""
+    total, threat, target, negation, reported = 0.0, 99, 99, 99, False
+    for word in words:
+        symbol = grammar.symbol(word)
+        insult = None
+        threat, target, negation = threat + 1, target + 1, negation + 1
+        if symbol.startswith("insult:"):
+            insult = grammar.entries[symbol[7:]]
+        elif symbol == "threat":
+            threat = 0
+        elif symbol == "target" and threat <= 3:
+            insult, threat = 4.0, 99
+        elif symbol == "target":
+            target = 0
+        elif symbol == "negation":
+            negation = 0
+        elif symbol == "reporting":
+            reported = True
+        if insult is not None:
+            total += insult + (0.7 if target <= 4 else 0) - (2.5 if negation <= 2 else 0) - (2.0 if reported else 0)
+    return max(0.0, total)
+
+
+def test_composed_grammar_is_the_rules_it_is_made_of():
+    grammar = toxicity.Grammar({"idiot": 5.0, "stup*": 3.0, "stupidest*": 4.0, "fool": 2.5}, -3.0)
+    rng = random.Random(6)
+    vocabulary = ["idiot", "stupid", "stupidests", "fool", "you", "them", "kill", "hurt", "not", "never", "said", "wrote", "tree", "house", "and", "the"]
+    for _ in range(3000):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 12))]
+        assert math.isclose(grammar.clause(" ".join(words)), direct_clause(words, grammar), abs_tol=1e-9), words
+    for _ in range(300):
+        clauses = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 150))] for _ in range(rng.randint(0, 4))]
+        weights = [direct_clause(c, grammar) for c in clauses]
+        want = -3.0 + max(weights, default=0) + toxicity.FURTHER * (sum(weights) - max(weights, default=0))
+        got = grammar.score("".join(" ".join(c) + rng.choice(toxicity._MARKS) for c in clauses))
+        assert math.isclose(got, 1 / (1 + math.exp(-max(-30, min(30, want)))), rel_tol=1e-9)
