@@ -4,9 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import embedding_dedup, nearest
+from siltstone.llm import vectors as V
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, n long, vec string, cell long"
 
@@ -108,3 +110,17 @@ def test_chi_square():
     rng = random.Random(1)
     draws = [sum(rng.gauss(0, 1) ** 2 for _ in range(8)) for _ in range(4000)]
     assert abs(sum(d <= nearest.stop_ratio(0.9) for d in draws) / 4000 - 0.9) < 0.02
+
+
+def test_vectors_keep_their_precision_and_any_label(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(i, [float(x) for x in base + rng.normal(size=8) * 1e-9], c) for i, c in enumerate(["a", "a", "b", None, "a"])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+        assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (0, 3), 4: (2, 0)}
+        stored = {r.vec_id: V.matrix(pa.array([r.vec], pa.binary()), 8)[0].tolist() for r in V.canonical(df).collect()}
+        assert stored == {i: np.array(v, np.float32 if kind == "float" else np.float64).tolist() for i, v, _ in rows}
