@@ -268,15 +268,27 @@ def near_duplicates(docs: DataFrame, *, n_words: int = 5, percent: int = 80) ->
     )
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``: the place of (doc_id, text) among all, in that order; null where doc_id is."""
+def _free(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that are no column yet, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with ``row``: the place of (doc_id, text) among all, in that order; null where doc_id is."""
+    n, mine = _free([*docs.columns, row], "__n", "__own")
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit("-")))
-    texts = Window.partitionBy("__own").orderBy(F.col("text").cast("string"))
-    ranked = cluster.saved(docs.withColumn("__own", own).withColumn("__n", F.dense_rank().over(texts)).drop("__own"), "ranked")
-    known = ranked.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "__n").distinct().orderBy("doc_id", "__n")
+    texts = Window.partitionBy(mine).orderBy(F.col("text").cast("string"))
+    ranked = cluster.saved(docs.withColumn(mine, own).withColumn(n, F.dense_rank().over(texts)).drop(mine), "ranked")
+    known = ranked.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), n).distinct().orderBy("doc_id", n)
     places = known.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1]))
-    places = cluster.saved(docs.sparkSession.createDataFrame(places, "doc_id long, __n int, __row long"), "places")
-    return ranked.join(places, ["doc_id", "__n"], "left").drop("__n")
+    places = cluster.saved(docs.sparkSession.createDataFrame(places, f"doc_id long, {n} int, {row} long"), "places")
+    return ranked.join(places, ["doc_id", n], "left").drop(n)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -284,18 +296,20 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Decided by row: where rows of one doc_id have different texts, each is compared by its own. Rows
     with a null doc_id, and those without a word, are near duplicates of nothing and all stay.
+    Columns of any name pass through.
     """
     cluster.tune(docs.sparkSession)
+    row, key, n = _free(docs.columns, "__row", "__key", "__n")
     same = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     mixed = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(same).alias("low"), F.max(same).alias("high")).where("low <> high")
     # Numbering costs two more shuffles of the texts; where no doc_id has two texts, it is their number.
-    rows = docs.withColumn("__row", F.col("doc_id").cast("long")) if mixed.isEmpty() else _numbered(docs)
-    gone = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias("__row")).distinct()
+    rows = docs.withColumn(row, F.col("doc_id").cast("long")) if mixed.isEmpty() else _numbered(docs, row)
+    gone = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias(row)).distinct()
     has_word = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
-    key = F.coalesce(F.when(has_word, F.col("__row").cast("string")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit("-")))
-    first = rows.join(gone, "__row", "left_anti").withColumn("__key", key)
-    order = Window.partitionBy("__key").orderBy("text")
-    return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    own = F.coalesce(F.when(has_word, F.col(row).cast("string")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit("-")))
+    first = rows.join(gone, row, "left_anti").withColumn(key, own)
+    order = Window.partitionBy(key).orderBy("text")
+    return first.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from siltstone.llm import cluster
+from siltstone.llm.minhash import _free
 
 #: 2**64 over the golden ratio: slot i lies at i * GOLDEN mod 2**64.
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +117,13 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), most: int = 3,
     """
     spark = docs.sparkSession
     cluster.tune(spark)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
+    row_no = F.col(row_column) if row_column else F.monotonically_increasing_id()
+    # Rows without an id, and rows of one id, are spread over the buckets by their texts and then by their places.
+    same = F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(seed))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(same, row_no)).otherwise(same)
     base = cluster.saved(
         docs.select(
-            (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row_no"),
+            row_no.alias("row_no"),
             "doc_id",
             "source",
             F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long").alias("size"),
@@ -175,13 +179,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A row taken whole keeps its text; of the one row a source's target ends in, the words
     taken stay, with single spaces. ``n_chars``, if there is one, follows the text.
     """
-    kept = cluster.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed")
-    rows, pieces = mix(kept, row_column="__row", **options)
-    share = pieces.groupBy("row_no", "epoch").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to")).withColumnRenamed("row_no", "__row")
-    size = rows.select(F.col("row_no").alias("__row"), F.col("size").alias("__size"))
-    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{WORD}', 0), cast(__from + 1 as int), cast(__to - __from as int)), ' ')")
-    out = kept.join(share.join(size, "__row"), "__row")
-    whole = (F.col("__from") == 0) & (F.col("__to") == F.col("__size"))
+    row, lo, hi, words = _free(docs.columns, "__row", "__from", "__to", "__size")
+    kept = cluster.saved(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    rows, pieces = mix(kept, row_column=row, **options)
+    share = pieces.groupBy("row_no", "epoch").agg(F.min("from_word").alias(lo), F.max("to_word").alias(hi)).drop("epoch").withColumnRenamed("row_no", row)
+    size = rows.select(F.col("row_no").alias(row), F.col("size").alias(words))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, '{WORD}', 0), cast({lo} + 1 as int), cast({hi} - {lo} as int)), ' ')")
+    out = kept.join(share.join(size, row), row)
+    whole = (F.col(lo) == 0) & (F.col(hi) == F.col(words))
     out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import kneser_ney, minhash, mixing, packing, pii, suffix_dedup
 from siltstone.llm import words as W
@@ -245,6 +246,33 @@ def test_mix(spark, corpus, block):
     assert sorted(again) == sorted(pieces)
 
 
+def test_every_stretch_of_the_schedule_is_near_the_targets(spark):
+    blocks = [700, 40, 230, 1, 1029]
+    order = [r.source_no for r in mixing._schedule(spark, blocks).orderBy("slot").collect()]
+    assert collections.Counter(order) == dict(enumerate(blocks))
+    count = np.zeros(len(blocks))
+    for k, source in enumerate(order, 1):
+        count[source] += 1
+        assert (abs(count - k * np.array(blocks) / sum(blocks)) < 8).all()
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows, pieces = mixing.mix(spark.createDataFrame([(None, f"some words {i % 7}", "s") for i in range(400)], "doc_id long, text string, source string"))
+    assert rows.count() == 400 and {r.t for r in pieces.groupBy("row_no").agg(F.sum(F.expr("to_word - from_word")).alias("t")).collect()} == {3}
+
+
+def test_columns_like_the_inner_ones_pass_through(spark):
+    rng = random.Random(3)
+    words = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(30))
+    one = words()
+    rows = [(1, one, "a", 5, 6, 7, "x"), (2, one + " end", "b", 8, 9, 10, "y"), (2, words(), "b", 1, 2, 3, "z"), (3, words(), "c", 4, 4, 4, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __ROW int, __n int, __size int, __key string")
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted([rows[0], rows[2], rows[3]])
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} <= {r[3:] for r in rows}
+
+
 def test_mixed_texts(spark, corpus):
     docs = frame(spark, corpus)
     out = mixing.mixed(docs)
