@@ -47,8 +47,8 @@ END, BEGIN = np.uint64(0x5BF0_3635_DE5C_A1B1), np.uint64(0xC2B7_4F1D_9A60_77E3)
 FOLD, WORDS, SCORE, SHARD_BYTES = 1 << 21, 1 << 20, 1 << 19, 8_000_000
 #: Bytes of text whose hashes are held at a time, in counting and in scoring; rows end where they end.
 TEXT_BYTES, SCORE_BYTES = 8 << 20, 4 << 20
-#: Bits of a hash a gram file stores with each gram; the bits above are given by the shard and the place.
-STORED = 48
+#: Bits of a hash a gram file stores with each gram, 40 where the bits above are few enough for a table of them; those are given by the shard and the place.
+STORED, TABLE_BITS = (40, 48), 17
 _MAX_BITS = 20
 
 
@@ -259,12 +259,17 @@ def _decode(raw: np.ndarray, at: int, n: int, n_columns: int, rows: np.ndarray)
 
 
 def _write_grams(path: str, keys: np.ndarray, bits: int, counts: list[np.ndarray]) -> None:
-    """``keys`` sorted hashes of the shard: upper bits by a table of places, 32 and 16 bits in two arrays."""
-    radix = max(0, 64 - STORED - bits)
-    bucket = (keys >> np.uint64(STORED)) & np.uint64((1 << radix) - 1)
-    places = np.searchsorted(bucket, np.arange((1 << radix) + 1, dtype=np.uint64)).astype(np.uint32)
-    high, low = (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
-    _write(path, len(keys), [places.tobytes(), high.tobytes(), low.tobytes(), *_codes(counts)])
+    """``keys`` sorted hashes of the shard: upper bits by a table of how many grams have them, 32 and 8 or 16 bits in two arrays."""
+    for stored in STORED:
+        radix = max(0, 64 - stored - bits)
+        if radix > TABLE_BITS and stored != STORED[-1]:
+            continue
+        many = np.bincount(((keys >> np.uint64(stored)) & np.uint64((1 << radix) - 1)).astype(np.int64), minlength=1 << radix)
+        if many.max() < 256 or stored == STORED[-1]:
+            break
+    kind, rest = (np.uint8, np.uint8) if stored == 40 else (np.uint32, np.uint16)
+    high, low = (keys >> np.uint64(stored - 32)).astype(np.uint32), keys.astype(rest)
+    _write(path, len(keys), [np.array([stored], np.int64).tobytes(), many.astype(kind).tobytes(), high.tobytes(), low.tobytes(), *_codes(counts)])
 
 
 def _find_grams(path: str, bits: int, keys: np.ndarray, n_columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,12 +278,15 @@ def _find_grams(path: str, bits: int, keys: np.ndarray, n_columns: int) -> tuple
     none = np.zeros(0, np.int64), np.zeros((0, n_columns), np.int64)
     if not n or not len(keys):
         return none
-    radix = max(0, 64 - STORED - bits)
-    at = 16 + 4 * ((1 << radix) + 1)
-    places = np.frombuffer(raw, np.uint32, (1 << radix) + 1, 16).astype(np.int64)
-    high, low = np.frombuffer(raw, np.uint32, n, at), np.frombuffer(raw, np.uint16, n, at + 4 * n)
-    bucket = ((keys >> np.uint64(STORED)) & np.uint64((1 << radix) - 1)).astype(np.int64)
-    want, check = (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)
+    stored = int(np.frombuffer(raw, np.int64, 1, 16)[0])
+    radix = max(0, 64 - stored - bits)
+    kind, rest = (np.uint8, np.uint8) if stored == 40 else (np.uint32, np.uint16)
+    places = np.zeros((1 << radix) + 1, np.int64)
+    np.cumsum(np.frombuffer(raw, kind, 1 << radix, 24), out=places[1:])
+    at = 24 + np.dtype(kind).itemsize * (1 << radix)
+    high, low = np.frombuffer(raw, np.uint32, n, at), np.frombuffer(raw, rest, n, at + 4 * n)
+    bucket = ((keys >> np.uint64(stored)) & np.uint64((1 << radix) - 1)).astype(np.int64)
+    want, check = (keys >> np.uint64(stored - 32)).astype(np.uint32), keys.astype(rest)
     lo, end = places[bucket], places[bucket + 1]
     hi = end.copy()
     for _ in range(int(max(1, (hi - lo).max())).bit_length()):  # all binary searches a step at a time
@@ -298,7 +306,7 @@ def _find_grams(path: str, bits: int, keys: np.ndarray, n_columns: int) -> tuple
         open_rows = open_rows[~hit]
         lo[open_rows] += 1
     where = np.flatnonzero(found >= 0)
-    return where, _decode(raw, at + 6 * n, n, n_columns, found[where])
+    return where, _decode(raw, at + (4 + low.itemsize) * n, n, n_columns, found[where])
 
 
 # ---- vocabulary ------------------------------------------------------------------------------------------------------
