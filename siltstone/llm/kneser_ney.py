@@ -416,9 +416,11 @@ def _fold_grams(folder: str, bits: int, order: int):
                 h = gram_hash(columns)
                 by_hash = np.argsort(h)
                 heads = _heads(h[by_hash])
-                first = by_hash[heads]
-                n = np.diff(heads, append=len(by_hash))
-                yield from _sent(_gram_rows(GRAMS, order, [c[first] for c in columns], [n], bits))
+                first, n = by_hash[heads], np.diff(heads, append=len(by_hash))
+                del h, by_hash, heads
+                columns = [c[first] for c in columns]
+                yield from _sent(_gram_rows(GRAMS, order, columns, [n], bits))
+                del columns, first, n
 
     return run
 
