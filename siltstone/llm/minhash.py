@@ -7,10 +7,13 @@ by their signatures (within a wide margin), groups of similar texts found that w
 then compared on their full shingle sets, and only pairs that pass there are links.
 
 Scale: equal sets collapse to one representative before anything is compared, so a
-large group of copies costs one row. Buckets and groups over a block size are cut into
-blocks and each pair of blocks is a separate group of rows, so no task holds an unbounded
-group. Inside a group a search tree is grown instead of emitting all pairs: the output
-is linear in its size and keeps every connection.
+large group of copies costs one row. Buckets and groups over a block size are dealt to
+blocks, so no task holds an unbounded group. Inside a block a search tree is grown instead
+of emitting all pairs: the output is linear in its size and keeps every connection. Each
+row of a large group is first searched in two blocks, dealt in two ways, which connects
+most of a group of alike texts; only rows outside its largest connected part then meet all
+others, block by block. So a row is copied as often as there are blocks of such rows, and
+no pair that could still connect two parts is left out.
 """
 
 from __future__ import annotations
@@ -66,6 +69,7 @@ def _sign(n_words: int, bands: int, rows: int):
             w, first = W.word_hashes(body, offs)
             sets = W.distinct_per_text(*W.shingles(w, first, n_words))
             h1, h2, keys, low = [], [], [], []
+            n_bytes = np.diff(offs)
             salt = W.mix(np.arange(1, bands + 1, dtype=np.uint64))
             for s in sets:
                 if not len(s):
@@ -81,8 +85,8 @@ def _sign(n_words: int, bands: int, rows: int):
                 keys.append(h.view(np.int64))
                 low.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "keys", "sig"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n_bytes, pa.int64())],
+                ["doc_id", "n_shingles", "h1", "h2", "keys", "sig", "n_bytes"],
             )
 
     return run
@@ -123,13 +127,14 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _similar(least: int):
-    """Per bucket block: a forest that connects all rows with enough equal coordinates."""
+    """Per bucket block: a forest that connects all rows with enough equal coordinates; rows of equal ``known`` are connected."""
 
     def run(batches):
         for table in grouped(batches, 3):
             bounds = group_bounds(table, 3)
             rep = table.column(3).to_numpy()
-            sig = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            known = table.column(4).to_numpy()
+            sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, COORDINATES)
             size = np.diff(bounds)
             out_a, out_b = [], []
             two = bounds[:-1][size == 2]
@@ -141,6 +146,10 @@ def _similar(least: int):
                     queue, rest = [rest[0]], rest[1:]
                     while queue and len(rest):
                         x = queue.pop()
+                        mates = known[rest] == known[x]
+                        if mates.any():
+                            queue.extend(rest[mates])
+                            rest = rest[~mates]
                         near = (sig[rest] == sig[x]).sum(axis=1) >= least
                         found = rest[near]
                         if len(found):
@@ -153,13 +162,13 @@ def _similar(least: int):
 
 
 def _verify(n_words: int, percent: int):
-    """Per block of similar texts: a forest that connects all pairs whose full sets pass."""
+    """Per block of similar texts: a forest that connects all pairs whose full sets pass; rows of equal ``known`` are connected."""
 
     def run(batches):
         for table in grouped(batches, 3):
             bounds = group_bounds(table, 3)
-            rep = table.column(3).to_numpy()
-            text = table.column(4).combine_chunks()
+            rep, known = (table.column(k).to_numpy() for k in (3, 4))
+            text = table.column(5).combine_chunks()
             text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
             out_a, out_b = [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
@@ -167,37 +176,84 @@ def _verify(n_words: int, percent: int):
                 sets = W.distinct_per_text(*W.shingles(w, first, n_words))
                 del w
                 size = np.array([len(s) for s in sets])
+                rest = np.flatnonzero(size)
+                if not len(rest):
+                    continue
                 _, ids = np.unique(np.concatenate(sets), return_inverse=True)
                 ids = ids.astype(np.int32)
                 at = np.concatenate([[0], np.cumsum(size)])
-                rest = np.arange(len(sets))
-                rest_ids, mark = ids, np.zeros(int(ids.max()) + 1, np.int32)
-                rest_at = at[:-1]
-                while len(rest) > 1:
-                    queue = [rest[0]]
-                    live = np.ones(len(rest), bool)
-                    live[0] = False
-                    while queue and live.any():
-                        x = queue.pop()
-                        own = ids[at[x] : at[x + 1]]
-                        mark[own] = 1
-                        shared = np.add.reduceat(mark[rest_ids], rest_at)
-                        mark[own] = 0
-                        ok = live & (100 * shared >= percent * (size[rest] + size[x] - shared))
-                        if ok.any():
-                            found = rest[ok]
-                            out_a.append(np.full(len(found), rep[a + x])), out_b.append(rep[a + found])
-                            queue.extend(found)
-                            live &= ~ok
-                    rest = rest[live]
-                    if len(rest) > 1:
+                mark = np.zeros(int(ids.max()) + 1, np.int32)
+                rest_ids, rest_at, live = ids, at[rest], np.ones(len(rest), bool)
+                queue: list[int] = []
+                while live.any():
+                    if 2 * live.sum() < len(rest):
+                        rest = rest[live]
                         rest_ids = np.concatenate([ids[at[r] : at[r + 1]] for r in rest])
-                        rest_at = np.concatenate([[0], np.cumsum(size[rest])[:-1]])
+                        rest_at, live = np.concatenate([[0], np.cumsum(size[rest])[:-1]]), np.ones(len(rest), bool)
+                    if not queue:
+                        k = int(live.argmax())
+                        queue.append(rest[k])
+                        live[k] = False
+                        continue
+                    x = queue.pop()
+                    mates = live & (known[a + rest] == known[a + x])
+                    queue.extend(rest[mates])
+                    live &= ~mates
+                    if not live.any():
+                        break
+                    own = ids[at[x] : at[x + 1]]
+                    mark[own] = 1
+                    shared = np.add.reduceat(mark[rest_ids], rest_at)
+                    mark[own] = 0
+                    ok = live & (100 * shared >= percent * (size[rest] + size[x] - shared))
+                    if ok.any():
+                        found = rest[ok]
+                        out_a.append(np.full(len(found), rep[a + x])), out_b.append(rep[a + found])
+                        queue.extend(found)
+                        live &= ~ok
             yield _pairs(out_a, out_b)
 
     return run
 
 
+def _connected(members: DataFrame, payload: DataFrame, search) -> DataFrame:
+    """Components, as (node, component), of the links ``search`` finds between members of one group.
+
+    ``members(g, rep, blocks)``: a group and the blocks its rows need; ``payload(rep, data)``: what is compared.
+    """
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("g", "lo", "hi", "rep", "known").join(payload, "rep").select("g", "lo", "hi", "rep", "known", "data")
+        return rows.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "rep").mapInArrow(search, "a long, b long")
+
+    ways = F.when(F.col("blocks") > 1, F.expr("array(0L, 1L)")).otherwise(F.expr("array(0L)"))
+    twice = members.withColumn("hi", F.explode(ways)).withColumn("lo", F.expr("pmod(xxhash64(rep, hi), blocks)"))
+    parts = cluster.saved(cluster.components(searched(twice.withColumn("known", F.col("rep")))), "parts")
+    wide = members.where("blocks > 1").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("g", "rep", "blocks", F.coalesce("component", "rep").alias("known"))
+    wide = cluster.saved(wide, "wide")
+    largest = (
+        wide.groupBy("g", "known").agg(F.count("*").alias("m"), F.max("blocks").alias("blocks")).groupBy("g")
+        .agg(F.sum("m").alias("n"), F.max(F.struct("m", "known")).alias("top"), F.max("blocks").alias("blocks"))
+        .where("n > top.m")
+        .selectExpr("g", "top.known as top", "cast(ceil((n - top.m) * blocks / n) as long) as outer_blocks", "cast(ceil(top.m * blocks / n) as long) as inner_blocks")
+    )
+    if largest.isEmpty():
+        cluster.forget(wide)
+        return parts
+    # Blocks of rows outside the largest part come first; they meet every block, blocks of the largest part only these.
+    pairs = (
+        wide.join(largest, "g")
+        .withColumn("own", F.expr("if(known = top, outer_blocks + pmod(xxhash64(rep), inner_blocks), pmod(xxhash64(rep), outer_blocks))"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, if(known = top, outer_blocks, outer_blocks + inner_blocks) - 1)")))
+        .withColumn("lo", F.least("own", "other"))
+        .withColumn("hi", F.greatest("own", "other"))
+    )
+    found = searched(pairs)
+    out = cluster.saved(cluster.components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "parts")
+    cluster.forget(wide, parts)
+    return out
+
+
 def _blocks(df: DataFrame, n_blocks: str) -> DataFrame:
     """Put each row into every pair of blocks its own block belongs to: columns lo, hi."""
     return (
@@ -228,35 +284,22 @@ def near_duplicates(docs: DataFrame, *, n_words: int = 5, percent: int = 80) ->
     bands, rows = banding(percent)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cluster.saved(
-        source.mapInArrow(_sign(n_words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signed"
+        source.mapInArrow(_sign(n_words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary, n_bytes long"), "signed"
     )
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = cluster.saved(
-        usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "reps"
-    )
-    keyed = reps.select(F.explode("keys").alias("key"), "rep")
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cluster.saved(keyed.join(shared_keys, "key"), "members")
-    blocks = _blocks(members.join(reps.select("rep", "sig"), "rep"), f"cast(ceil(n / {BUCKET_BLOCK}) as long)")
-    similar = (
-        blocks.select("key", "lo", "hi", "rep", "sig")
-        .repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "rep")
-        .mapInArrow(_similar(least_agreement(percent)), "a long, b long")
-    )
-    groups = cluster.saved(cluster.components(similar), "groups")
-    texts = source.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    texts = cluster.saved(texts.select("rep", "component", "text").withColumn("bytes", F.octet_length("text")), "similar")
-    sizes = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    checked = (
-        _blocks(texts.drop("bytes").join(sizes, "component"), f"cast(greatest(1, ceil(n / {VERIFY_BLOCK}), ceil(bytes / {VERIFY_BYTES})) as long)")
-        .select("component", "lo", "hi", "rep", "text")
-        .repartition("component", "lo", "hi")
-        .sortWithinPartitions("component", "lo", "hi", "rep")
-        .mapInArrow(_verify(n_words, percent), "a long, b long")
+        usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.max("n_bytes").alias("n_bytes")), "reps"
     )
-    linked = cluster.saved(cluster.components(checked), "linked")
-    cluster.forget(members, groups, texts)
+    keyed = reps.select(F.explode("keys").alias("g"), "rep")
+    buckets = keyed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").selectExpr("g", f"cast(ceil(n / {BUCKET_BLOCK}) as long) as blocks")
+    members = cluster.saved(keyed.join(buckets, "g"), "members")
+    similar = _connected(members, reps.select("rep", F.col("sig").alias("data")), _similar(least_agreement(percent)))
+    alike = cluster.saved(similar.select(F.col("component").alias("g"), F.col("node").alias("rep")).join(reps.select("rep", "n_bytes"), "rep"), "alike")
+    needs = f"cast(greatest(1, ceil(count(*) / {VERIFY_BLOCK}), ceil(sum(n_bytes) / {VERIFY_BYTES})) as long) as blocks"
+    groups = cluster.saved(alike.join(alike.groupBy("g").agg(F.expr(needs)), "g").select("g", "rep", "blocks").distinct(), "groups")
+    texts = cluster.saved(source.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("text").alias("data")), "similar")
+    linked = _connected(groups, texts, _verify(n_words, percent))
+    cluster.forget(members, similar, alike, groups, texts)
     named = (
         reps.select("h1", "h2", F.col("n_shingles").alias("n_of"), "rep")
         .join(linked.withColumnRenamed("node", "rep"), "rep", "left")

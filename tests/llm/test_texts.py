@@ -113,6 +113,48 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_large_groups_of_several_parts(spark, monkeypatch, seed):
+    """Rows outside the largest part of a group meet all others: chains, pairs and lone rows, copies of ids, empty texts."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(minhash, "VERIFY_BLOCK", 4)
+    rng = random.Random(seed)
+    base = ["w%d" % rng.randrange(900) for _ in range(120)]
+    rows, texts = [], [base]
+    for i in range(90):
+        words = list(rng.choice(texts[-30:] if i % 3 else texts[:1]))
+        for _ in range(rng.choice([1, 2, 6])):
+            words[rng.randrange(120)] = "x%d" % rng.randrange(10**6)
+        texts.append(words)
+        rows.append((i, " ".join(words), "s"))
+    _, want = brute_components(rows, 5, 80)
+    assert len(set(want.values())) > 3 and max(collections.Counter(want.values()).values()) > 8
+    got = minhash.near_duplicates(frame(spark, [*rows, (3, "", "s"), (4, None, "s")])).collect()
+    assert {r.doc_id: r.component_id for r in got if r.n_shingles} == want
+
+
+def test_only_rows_outside_the_largest_part_meet_all_others(spark):
+    """Copies of rows of a group of 400 in blocks of 10: two each, and those of 3 lone rows once more for each block."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        import pyarrow as pa
+
+        for table in minhash.grouped(batches, 3):
+            seen.add(table.num_rows)
+            data, rep, out = table.column(5).to_pylist(), table.column(3).to_pylist(), []
+            bounds = minhash.group_bounds(table, 3)
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                alike = [k for k in range(s, e) if data[k] == "alike"]
+                out += [(rep[alike[0]], rep[k]) for k in alike[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    members = spark.range(400).selectExpr("7L as g", "id as rep", "40L as blocks")
+    got = minhash._connected(members, spark.range(400).selectExpr("id as rep", "if(id in (5, 50, 200), 'lone', 'alike') as data"), search).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(400) if k not in (5, 50, 200)}
+    assert seen.value <= 2 * 400 + 400 + 3 * 41
+
+
 def test_banding_misses_little():
     for percent in (80, 85):
         bands, rows = minhash.banding(percent)
