@@ -77,7 +77,7 @@ def _route(trees: list[Tree], dim: int):
                 for t, tree in enumerate(trees):
                     for r, leaf in zip(*tree.leaves(x)):
                         codes[fits[r]].append(t << 32 | int(leaf))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(c) for c in codes], pa.list_(pa.int64()))], ["rep", "label", "dim", "n", "vec", "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(c) for c in codes], pa.list_(pa.int64()))], ["rep", "label", "dim", "n", "vec", "h1", "h2", "codes"])
 
     return run
 
@@ -148,13 +148,17 @@ def near_duplicate_vectors(rows: DataFrame, *, cosine: float = 0.98) -> DataFram
     largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     sample = V.sampled(reps, SAMPLE)
     trees = fit(sample, largest, cosine)
-    routed = reps.select("rep", "label", "dim", "n", "vec").mapInArrow(_route(trees, sample.shape[1]), "rep long, label long, dim int, n long, vec binary, codes array<long>")
+    routed = reps.select("rep", "label", F.col("dim").cast("long").alias("dim"), "n", "vec", "h1", "h2").mapInArrow(
+        _route(trees, sample.shape[1]), "rep long, label long, dim long, n long, vec binary, h1 long, h2 long, codes array<long>"
+    )
     routed = cluster.saved(routed, "routed")
-    in_leaf = routed.select("label", F.col("dim").cast("long").alias("dim"), F.explode("codes").alias("code"), "rep", "n", "codes", "vec")
-    sizes = routed.select("label", F.col("dim").cast("long").alias("dim"), F.explode("codes").alias("code")).groupBy("label", "dim", "code").agg(F.count("*").alias("m")).where("m > 1")
+    # Leaves are sized and cut into blocks on rows without vectors; a vector is sent once, to its blocks.
+    in_leaf = routed.select("label", "dim", F.explode("codes").alias("code"), "rep", "h1", "h2")
+    sizes = in_leaf.groupBy("label", "dim", "code").agg(F.count("*").alias("m")).where("m > 1")
+    dealt = _blocks(in_leaf.join(sizes, ["label", "dim", "code"]), f"cast(ceil(m / {BLOCK}) as long)").select("label", "dim", "h1", "h2", "code", "lo", "hi", F.col("_own").alias("own"))
     found = cluster.saved(
-        _blocks(in_leaf.join(sizes, ["label", "dim", "code"]), f"cast(ceil(m / {BLOCK}) as long)")
-        .select("label", "dim", "code", "lo", "hi", "rep", "n", F.col("_own").alias("own"), "codes", "vec")
+        dealt.join(routed, ["label", "dim", "h1", "h2"])
+        .select("label", "dim", "code", "lo", "hi", "rep", "n", "own", "codes", "vec")
         .repartition("label", "dim", "code", "lo", "hi")
         .sortWithinPartitions("label", "dim", "code", "lo", "hi", "rep")
         .mapInArrow(_compare(cosine), "a long, b long, links long"),
