@@ -344,15 +344,18 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     cluster.tune(docs.sparkSession)
     row, key, n = _free(docs.columns, "__row", "__key", "__n")
     same = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    mixed = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(same).alias("low"), F.max(same).alias("high")).where("low <> high")
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long")).agg(F.count("*").alias("rows"), F.min(same).alias("low"), F.max(same).alias("high"))
+    most, mixed = ids.agg(F.max("rows"), F.max(F.expr("low <> high"))).first()
     # Numbering costs two more shuffles of the texts; where no doc_id has two texts, it is their number.
-    rows = docs.withColumn(row, F.col("doc_id").cast("long")) if mixed.isEmpty() else _numbered(docs, row)
+    rows = _numbered(docs, row) if mixed else docs.withColumn(row, F.col("doc_id").cast("long"))
     gone = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias(row)).distinct()
+    left = rows.join(gone, row, "left_anti")
+    if (most or 0) < 2:  # no row is repeated, which saves a shuffle of the texts
+        return left.select(*docs.columns)
     has_word = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
     own = F.coalesce(F.when(has_word, F.col(row).cast("string")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit("-")))
-    first = rows.join(gone, row, "left_anti").withColumn(key, own)
     order = Window.partitionBy(key).orderBy("text")
-    return first.withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
+    return left.withColumn(key, own).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
