@@ -13,12 +13,15 @@ Scale: no piece reaches the driver, only 2,048 counts; ranks need no sort of a h
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
@@ -27,17 +30,36 @@ from pyspark.sql import functions as F
 from siltstone.llm import cluster
 
 WINDOW, END_ID, CACHED_WORDS = 2048, 1, 1_000_000
+GROUP_BYTES = 1 << 21  # of texts whose words are looked up together
 _SPLIT = "<|endoftext|>"
 _tokenizers: dict = {}
 
+#: What a tokenizer has to do to texts before its merges for words to be parted here.
+_SUFFIX = "</w>"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTING = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Words of printable ASCII and the letters of Latin-1, which NFC leaves alone, and the tokenizer's parts of their lower case.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+|\n")
+_MARK = b"\xff" * 4  # stands for the end of a word; no id is that large
+
 
 class WordTokenizer:
     """Ids of texts as little-endian bytes.
 
     The tokenizer never joins across white space, so ids are those of the words in turn;
-    words seen before come from a bounded cache, the others are encoded together in one call
-    with a special token between them. It lower-cases and parts letters from signs, so a
-    word with a capital or a last full stop or comma takes the ids of its plain form.
+    words seen before come from a bounded cache. Latin words are lower-cased and parted into
+    letters, digits and signs here as the tokenizer does it, and new parts are encoded
+    together by its merges alone; the last token of each part ends in the suffix. Of other
+    words, those with a capital or a last full stop or comma take the ids of their plain
+    form, and new ones are encoded by the whole tokenizer in one call with a special token
+    between them. So are all words of a tokenizer that prepares texts in another way.
     """
 
     def __init__(self, path: str):
@@ -47,6 +69,29 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.split_id = self.inner.token_to_id(_SPLIT)
         self.cache: dict[str, bytes] = {}
+        self.merges = None
+        spec = json.loads(self.inner.to_str())
+        model = spec["model"]
+        known = {"normalizer": _NORMALIZER, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [_PARTING, _BYTES]}, "truncation": None, "padding": None}
+        same = all(spec[k] == v for k, v in known.items()) and all("<|" in t["content"] for t in spec["added_tokens"])
+        if same and model["type"] == "BPE" and model["end_of_word_suffix"] == _SUFFIX and not model["dropout"]:
+            bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}
+            self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for token, i in model["vocab"].items() if token.endswith(_SUFFIX)]] = True
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 500):
+            some = parts[i : i + 500]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some):  # a vocabulary without some last byte
+                self._learn(some)
+                continue
+            data, a = ids.tobytes(), 0
+            for part, b in zip(some, ends):
+                self.cache[part] = data[4 * a : 4 * b]
+                a = b
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if "<|" not in w]
@@ -62,24 +107,52 @@ class WordTokenizer:
                 self.cache[w] = np.array(self.inner.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_all(self, words: set[str]) -> None:
+        if self.merges is not None:
+            latin = [w for w in words if _LATIN.fullmatch(w) and "<|" not in w]
+            if latin:
+                self._learn_latin(latin)
+                words = words.difference(latin)
         plain = {w: _plain(w) for w in words}
-        self._learn(list({".", ",", *(core for core, _ in plain.values())}.difference(self.cache)))
+        if plain:
+            self._learn(list({".", ",", *(core for core, _ in plain.values())}.difference(self.cache)))
         for w, (core, sign) in plain.items():
             self.cache[w] = self.cache[core] + self.cache[sign] if sign else self.cache[core]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            cache = self.cache
-            new = set(words).difference(cache)
-            if new:
-                if len(cache) + len(new) > CACHED_WORDS:
-                    cache.clear()
-                    new = set(words)
-                self._learn_all(new)
-            out.append(b"".join(map(cache.__getitem__, words)))
-        return out
+    def _learn_latin(self, words: list[str]) -> None:
+        cache, whole, mixed = self.cache, [], []
+        for w in words:
+            (whole if w.isalpha() else mixed).append(w)
+        lower = [w.lower() for w in whole]
+        parts = _PARTS.findall("\n".join(mixed).lower())
+        self._learn_parts(list({*lower, *parts}.difference(cache, "\n")))
+        cache.update(zip(whole, map(cache.__getitem__, lower)))
+        cache["\n"] = _MARK
+        cache.update(zip(mixed, b"".join(map(cache.__getitem__, parts)).split(_MARK)))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP_BYTES)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(cuts, cuts[1:]) if a < b for ids in self._encode(texts.slice(a, b - a))]
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        at = np.array(split.offsets, np.int64)
+        coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        words, cache = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
+        found = list(map(cache.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            if len(cache) + len(new) > CACHED_WORDS:
+                cache.clear()
+            self._learn_all({words[k] for k in new})
+        for k in new:
+            found[k] = cache[words[k]]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(ids) + 1, 8 * ids.offset)[at - at[0]].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 def _plain(word: str) -> tuple[str, str]:
@@ -111,10 +184,9 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
         tok, seen, task = _tokenizer(path), np.zeros(window + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for k in range(batch.num_rows):
-                ids = tok.encode([batch.column(1)[k].as_py() or ""])[0] + end
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(pc.fill_null(batch.column(1), ""))):
+                ids += end
                 n = len(ids) // 4
-                doc = batch.column(0)[k].as_py()
                 for a in range(0, n, window):
                     size = min(window, n - a)
                     data = ids[4 * a : 4 * (a + size)]

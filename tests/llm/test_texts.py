@@ -384,6 +384,36 @@ def test_pack(spark, corpus):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def odd_texts():
+    rng = random.Random(9)
+    signs = [chr(i) for i in range(33, 127)] + [chr(i) for i in range(0xA0, 0x100)]
+    pieces = ["don't", "WE'LL", "'S", "&'re", "</w>", "<|x", "<|endoftext|>", "\x01", "\u212a", "\u0130", "\u03a3\u03a3", "e\u0301", "\u0301", "Привет,", "日本", "ﬁ", "x" * 300, "a1b22"]
+    for gap in (" ", "\n", "\t\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "  "):
+        for _ in range(40):
+            words = ["".join(rng.choices(signs, k=rng.randint(0, 9))) for _ in range(20)] + rng.sample(pieces, 6)
+            rng.shuffle(words)
+            yield gap.join(words)
+    yield from ["", " ", "\n", *pieces, *signs, " ".join(signs), "".join(signs)]
+
+
+def test_ids_are_the_tokenizers(monkeypatch):
+    tok, texts = packing.WordTokenizer(packing.default_tokenizer()), list(odd_texts())
+    want = [np.array(tok.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tok.encode(texts) == want
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 300)
+    assert tok.encode(texts) == want and tok.encode([]) == []
+    tok.merges, tok.cache = None, {}
+    assert tok.encode(texts) == want
+
+
+def test_latin_words_need_the_merges_alone():
+    tok, text = packing.WordTokenizer(packing.default_tokenizer()), "Ünseen wörds, DON'T été\nno? x2y... (ends)."
+    want = np.array(tok.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    tok.inner = None  # its normaliser and patterns cost most of the time
+    assert tok.encode([text]) == [want]
+
+
 # ---- language model ----------------------------------------------------------------------------------------------
 
 
